@@ -1,13 +1,15 @@
 """Quality classifier: importance resampling with hashed n-gram models.
 
 Two bag models over BUCKETS hashed unigrams and bigrams are counted: the target model on
-labelled good documents, the raw model on every document. A document's importance weight is its
-likelihood ratio; documents are drawn without replacement by Gumbel top-k, that is, the k largest
+labelled good documents, the raw model on every document. A bigram of one token twice counts as
+the n-gram "repeat", whatever the token. Both models add PRIOR times the raw model to each count,
+so that rare buckets have a ratio near 1. A document's importance weight is its likelihood ratio; documents are drawn without replacement by Gumbel top-k, that is, the k largest
 log weights plus Gumbel noise. The log ratio is the mean over a document's n-grams times EVIDENCE,
 so that a long document does not count as more certain than a short one.
 
 k is the number of documents whose log weight lies above the threshold that best parts good from
-bad labelled documents, counted over all documents. The labelled sample is bounded: at most
+bad labelled documents (a good one lost costs as much as two bad ones kept), counted over all
+documents. The labelled sample is bounded: at most
 LABELLED rows of each label, chosen by the hash of their ids. The counts, the weights and the
 draw cover all documents.
 """
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 from ._bytes import SPACES, byte_codes, chunks, hash_of, mix, prefix_hash, spans, table
 from ._shared import bounded_batches, materialize, temp_name, text_of
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 EVIDENCE = 200.0
+PRIOR = 2.0
 LABELLED = 20_000
 #: Words (letters, digits, _ and bytes from 0x80) and runs of other signs are tokens.
 _LETTERS = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum() or b == 95)
@@ -38,7 +41,9 @@ def ngram_buckets(data: np.ndarray, offs: np.ndarray, buckets: int) -> tuple[np.
     one = hash_of(prefix_hash(data, byte_codes(True)), starts, ends)
     row = np.searchsorted(offs, starts, side="right") - 1
     pair = row[1:] == row[:-1]
-    two = mix(one[:-1] * np.uint64(0x9FB21C651E98DF25) + one[1:])[pair]
+    two = mix(one[:-1] * np.uint64(0x9FB21C651E98DF25) + one[1:])
+    two[one[1:] == one[:-1]] = 0  # repeat
+    two = two[pair]
     size = np.uint64(buckets)
     return np.concatenate([row, row[:-1][pair]]), (np.concatenate([one, two]) % size).astype(np.int64)
 
@@ -77,14 +82,13 @@ def _scorer(ratio: np.ndarray, evidence: float):
 
 
 def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The weight that parts good from bad with the fewest errors by rate, midway in its gap; -inf if a side is empty."""
+    """The weight that parts good from bad at the least cost, midway in its gap; -inf if a side is empty."""
     if not len(good) or not len(bad):
         return float("-inf")
     both = np.r_[good, bad]
     order = np.argsort(both, kind="stable")
-    sign = np.r_[np.full(len(good), 1 / len(good)), np.full(len(bad), -1 / len(bad))][order]
     value = both[order]
-    gain = -np.cumsum(sign)  # of rejecting this and all below
+    gain = np.cumsum(np.r_[np.full(len(good), -2), np.full(len(bad), 1)][order])  # of rejecting this and all below
     last = np.r_[value[1:] > value[:-1], True]
     at = int(np.argmax(np.where(last, gain, -np.inf)))
     if gain[at] <= 0:
@@ -141,11 +145,11 @@ def quality_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     source = source.join(known, F.col("doc_id") == F.col("labelled_id"), "left").select("doc_id", "key", F.coalesce("label", F.lit(-1)).alias("label"), "text")
     counted = source.select("label", "text").mapInArrow(_counter(buckets), "bucket long, raw long, good long")
     sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()  # a row a bucket
-    raw, good = np.ones(buckets), np.ones(buckets)
+    raw, good = np.zeros(buckets), np.zeros(buckets)
     for r in sums:
-        raw[r["bucket"]] += r["raw"]
-        good[r["bucket"]] += r["good"]
-    ratio = np.log(good / good.sum()) - np.log(raw / raw.sum())
+        raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
+    expected = raw * (good.sum() / max(raw.sum(), 1))
+    ratio = np.log(good + PRIOR) - np.log(expected + PRIOR)
     scored = source.mapInArrow(_scorer(ratio, evidence), "doc_id long, key long, label int, n long, weight double")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "key"), 11).cast("double") + 0.5) / F.lit(2.0**53)
     drawn = materialize(scored.withColumn("draw", F.col("weight") - F.log(-F.log(uniform))))
