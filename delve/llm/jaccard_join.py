@@ -15,9 +15,10 @@ drops pairs that cannot link.
 3. *Regions.* In a block, pivots create Voronoi regions: a set belongs to its nearest pivot, and
    also to each pivot q with d(x, q) <= d(x, home) + 2r, the triangle-inequality window that
    replicates boundary documents. Pivots are compared with the whole block exactly and leave
-   it; sets within r of a region's pivot are one class, and of those only sets whose distance
-   to the pivot is within r of an unlinked set's stay. Regions join recursively: those too
-   large for a task are split by jobs, smaller ones in memory, down to exact comparisons.
+   it; so do sets for which all sets within r of their distance to some pivot are of their own
+   class. Regions join recursively: those too large for a task are split by jobs, smaller ones
+   in memory, down to exact comparisons. Where the windows are too wide to part a region, it
+   goes on as one with new pivots.
 
 Shingles are 64-bit hashes, sets are told apart by 128 bits.
 """
@@ -140,26 +141,37 @@ def solve(sizes: np.ndarray, offsets: np.ndarray, values: np.ndarray, tags: np.n
                 if (parent[rest] != parent[members[k]]).any():
                     against(members[k], rest, cat[bounds[k + 1] :], bounds[k + 1 :] - bounds[k + 1])
             continue
+        # pivots: the set of most shared shingles among those outside the largest class, then the farthest ones
+        names_, size_ = np.unique(parent[members], return_counts=True)
+        outside = parent[members] != names_[np.argmax(size_)] if size_.max() > 1 else np.ones(len(members), dtype=bool)
         score = np.r_[0, np.cumsum(freq[cat])]
-        pivots = [int(np.argmax((score[bounds[1:]] - score[bounds[:-1]]) / np.maximum(sizes[members], 1)))]
-        dist, links = [], []
-        for _ in range(min(PIVOTS, len(members) // 4)):
-            d, linked = against(members[pivots[-1]], members, cat, bounds)
+        score = np.where(outside, (score[bounds[1:]] - score[bounds[:-1]]) / np.maximum(sizes[members], 1), -1)
+        pivots = [int(np.argmax(score))]
+        dist = []
+        for _ in range(min(PIVOTS, int(outside.sum()))):
+            d, _linked = against(members[pivots[-1]], members, cat, bounds)
             dist.append(d)
-            links.append(linked)
-            nearest = np.min(dist, axis=0)
+            nearest = np.where(outside, np.min(dist, axis=0), -1)
             nearest[pivots] = -1
             pivots.append(int(np.argmax(nearest)))
         pivots.pop()
         d = np.array(dist)
-        home = d.min(axis=0)
         stays = np.ones(len(members), dtype=bool)
         stays[pivots] = False
-        for k in range(len(pivots)):
-            inside = stays & (d[k] <= home + 2 * r + eps)
-            unlinked = inside & (parent[members] != parent[members[pivots[k]]])
-            if unlinked.any():
-                waiting.append(members[unlinked | (inside & (d[k] >= d[k][unlinked].min() - r - eps))])
+        for row in d:  # a set whose window of distances holds only its own class has no link left to find
+            order = np.flatnonzero(stays)
+            order = order[np.argsort(row[order], kind="stable")]
+            at, own = row[order], parent[members[order]]
+            change = np.r_[0, np.cumsum(own[1:] != own[:-1])]
+            low = np.searchsorted(at, at - r - eps, side="left")
+            high = np.searchsorted(at, at + r + eps, side="right") - 1
+            stays[order[change[low] == change[high]]] = False
+        home = d.min(axis=0)
+        cells = [stays & (row <= home + 2 * r + eps) for row in d]
+        if sum(int(c.sum()) for c in cells) > 1.25 * stays.sum():  # windows too wide to part this region; its pivots are done with
+            waiting.append(members[stays])
+        else:
+            waiting += [members[c] for c in cells]
     _, first, back = np.unique(parent, return_index=True, return_inverse=True)
     return first[back]
 
