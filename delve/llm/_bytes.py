@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _R = np.uint64(0x9E3779B97F4A7C15)  # odd, 5 modulo 8
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _cache: dict[str, np.ndarray] = {}

@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from ._bytes import buffers
 from ._shared import shuffle_partitions
 
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 HOT = 64
 
 Extract = Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch | None, np.ndarray, np.ndarray, np.ndarray]]]

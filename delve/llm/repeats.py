@@ -7,14 +7,14 @@ Equal windows have their anchors at the same place, so a window can only repeat
 at its anchor do. Anchors (about one in 64 bytes) whose gram occurs once in the corpus are
 dropped by a packed exchange of gram hashes; exact copies of a text take part once.
 
-*Sorting.* The suffixes at the remaining anchors are range-partitioned by their leading K bytes
+*Sorting.* The suffixes at the remaining anchors are range-partitioned by their leading 64 bytes
 with sampled splitters. Each bucket is sorted by multikey quicksort (an 8-byte word is a
 character), which gives the common prefix of neighbours; the bytes before the anchors, reversed,
 are sorted the same way. A window that starts o bytes before its anchor equals another if both
 share o bytes to the left and WINDOW - o to the right: a pair of class numbers read off the two
 sorts, bytes compared throughout.
 
-*Across boundaries.* Splitters never part suffixes with equal leading K bytes, so buckets have no
+*Across boundaries.* Splitters never part suffixes with equal leading bytes, so buckets have no
 common window, unless more than GROUP anchors share a gram. Such groups could fill a task; they
 are spread by the hashes of their windows instead and compared across all buckets by a second
 packed exchange (64-bit hashes; documents are told apart by 64 bits of their SHA-256).
@@ -302,7 +302,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     weight, hot = context.agg(F.sum(F.length("left") + F.length("right")), F.max("hot")).first()
     parts = max(shuffle_partitions(spark), -(-int(weight or 0) // BUCKET_BYTES))
-    lead = F.substring("right", 1, window - step + 1)
+    lead = F.substring("right", 1, min(64, window - step + 1))
     spans = context.where(~F.col("hot")).repartitionByRange(parts, lead).mapInArrow(_bucket(window, step), "hi long, start long, end long")
     if hot:
         whole = context.where("hot").select("hi", "at", "far", F.concat("left", "right").alias("bytes"))
