@@ -221,9 +221,8 @@ def _assigner(pivots, percent: int):
             tokens = batch.column("tokens")
             for k in range(len(region)):
                 mine = tokens[k].values.to_numpy()
-                known = pivots.value[int(region[k])]
-                if any(p == node[k] for p, _, _ in known):
-                    continue
+                known = [x for x in pivots.value[int(region[k])] if x[0] != node[k]]
+                pivot = len(known) < len(pivots.value[int(region[k])])  # leaves the region, with its links to other pivots
                 d, linked = [], []
                 for _, _, theirs in known:
                     inter = len(np.intersect1d(mine, theirs, assume_unique=True))
@@ -231,7 +230,7 @@ def _assigner(pivots, percent: int):
                     d.append(1 - inter / max(joint, 1))
                     linked.append(100 * inter >= percent * joint)
                 for (p, p_tag, _), x, near in zip(known, d, linked, strict=True):
-                    inside = x <= min(d) + 2 * r + eps
+                    inside = not pivot and x <= min(d) + 2 * r + eps
                     if inside or near:
                         out.append((region[k], p, node[k], n[k], tag[k], x, near, inside, near or (tag[k] >= 0 and tag[k] == p_tag)))
             if out:
