@@ -68,6 +68,41 @@ def sparse_grams(data: bytes, limit: int = MAX_SPARSE) -> list[bytes]:
     return sorted(out)
 
 
+def _hashed(h: np.ndarray) -> np.ndarray:
+    """:func:`pack` of grams other than trigrams, from their running hashes."""
+    h = h ^ (h >> np.uint64(29))
+    h = (h * np.uint64(0xBF58476D1CE4E5B9)) ^ (h >> np.uint64(32))
+    return ((h & np.uint64((1 << 40) - 1)) | np.uint64(1 << 40)).astype(np.int64)
+
+
+def sparse_codes(data: bytes, limit: int = MAX_SPARSE) -> np.ndarray:
+    """The packed :func:`sparse_grams`, distinct and sorted: all starts grow by a byte at a time."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    n = len(raw) - 1  # pairs
+    if n < 1:
+        return np.zeros(0, np.int64)
+    wide, prime = raw.astype(np.uint64), np.uint64(0x100000001B3)
+    weight = _WEIGHTS[raw[:-1].astype(np.int64) * 256 + raw[1:]]
+    at, h = np.arange(n), (np.uint64(0xCBF29CE484222325) ^ wide[:-1]) * prime
+    h = (h ^ wide[1:]) * prime
+    inner, out = np.full(n, -1, np.int64), [np.unique(_hashed(h))]
+    for d in range(1, limit - 1):
+        live = (at + d < n) & (inner < weight[at])
+        at, h, inner = at[live], h[live], inner[live]
+        if not len(at):
+            break
+        h = (h ^ wide[at + d + 1]) * prime
+        last = weight[at + d]
+        whole = last > inner
+        if d == 1:
+            i = at[whole]
+            out.append((raw[i].astype(np.int64) << 16) | (raw[i + 1].astype(np.int64) << 8) | raw[i + 2])
+        else:
+            out.append(_hashed(h[whole]))
+        inner = np.maximum(inner, last)
+    return np.unique(np.concatenate(out))
+
+
 def covering_grams(data: bytes, limit: int = MAX_SPARSE) -> list[bytes]:
     """Few sparse grams that cover a literal, each of them among :func:`sparse_grams` of any text around it."""
     if len(data) < 2:
@@ -89,22 +124,27 @@ def covering_grams(data: bytes, limit: int = MAX_SPARSE) -> list[bytes]:
     return sorted(out)
 
 
-def block_grams(blocks: DataFrame, strategy: str = "trigram") -> DataFrame:
-    """(gram, doc_id, block) of each distinct gram of rows (doc_id, block, bytes), by Arrow batches."""
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("block", pa.int32())])
+def block_grams(blocks: DataFrame, strategy: str = "trigram", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(carry..., gram, doc_id, block) of each distinct gram of rows (doc_id, block, bytes), by Arrow batches.
+
+    ``carry`` names string columns to repeat, so that postings need no join to get them back."""
+    schema = pa.schema([*((c, pa.string()) for c in carry), ("gram", pa.int64()), ("doc_id", pa.int64()), ("block", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, block, data in zip(batch.column("doc_id").to_pylist(), batch.column("block").to_pylist(), batch.column("bytes"), strict=True):
+            extra = [batch.column(c) for c in carry]
+            for k, (doc, block, data) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("block").to_pylist(), batch.column("bytes"), strict=True)):
                 raw = data.as_buffer()
                 if strategy == "trigram":
                     b = np.frombuffer(raw, dtype=np.uint8).astype(np.int64)
                     gram = np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) if len(b) > 2 else b[:0]
                 else:
-                    gram = np.unique(np.array([pack(g) for g in sparse_grams(raw.to_pybytes())], dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(gram), doc, np.int64)), pa.array(np.full(len(gram), block, np.int32))], schema=schema)
+                    gram = sparse_codes(raw)
+                same = [pa.array([c[k].as_py()] * len(gram), pa.string()) for c in extra]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(gram), pa.array(np.full(len(gram), doc, np.int64)), pa.array(np.full(len(gram), block, np.int32))], schema=schema)
 
-    return blocks.select("doc_id", "block", "bytes").mapInArrow(run, "gram long, doc_id long, block int")
+    names = "".join(f"{c} string, " for c in carry)
+    return blocks.select(*carry, "doc_id", "block", "bytes").mapInArrow(run, f"{names}gram long, doc_id long, block int")
 
 
 def trigram_hex(data: Column) -> Column:

@@ -199,8 +199,7 @@ def _write_segment(spark: SparkSession, store: _Store, corpus: DataFrame, strate
         gone = vanished.select(F.lit(seg).alias("seg"), F.col("key").alias("source_key"), F.col("version"), F.lit(0).cast("long").alias("encoded_size"), F.lit(None).cast("string").alias("encoding"), F.lit(0).cast("long").alias("doc_count"), F.lit(False).alias("failed"), F.lit(True).alias("retry"))
         sources = sources.unionByName(gone)
     sources.repartitionByRange("source_key").write.parquet(f"{base}/sources")
-    owner = content.select("doc_id", "source_key").distinct()
-    grams = block_grams(content, strategy).join(owner, "doc_id").select(F.lit(seg).alias("seg"), "source_key", "gram", "doc_id", "block")
+    grams = block_grams(content, strategy, carry=("seg", "source_key")).select("seg", "source_key", "gram", "doc_id", "block")
     grams.repartitionByRange("gram").sortWithinPartitions("gram", "doc_id", "block").write.parquet(f"{base}/postings")
     store.delete(f"tmp-{seg}")
     return _describe(spark, store, seg)
