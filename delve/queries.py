@@ -86,7 +86,6 @@ _plain("pat03_smart_case", "regexp_matches(text, '(?i)license')", ["license"], s
 _plain("pat04_word_regexp", "regexp_matches(text, '(^|[^0-9A-Za-z_])the($|[^0-9A-Za-z_])') AND regexp_full_match(text, '[ -~]*')", ["the"], word=True)
 _plain("pat05_line_anchor", "regexp_matches(text, '^The .*ed[.]$')", ["^The .*ed[.]$"])
 _plain("pat06_no_line_feed", "regexp_matches(text, 'ing[^a-z]*$')", ["ing[^a-z]*$"])
-QUERIES["pat04_word_regexp"] = lambda spark, sf: L.matching_lines(_docs(spark, sf), compile_patterns(["the"], word=True)).where(F.col("text").rlike(r"^[ -~]*\z"))
 
 
 @query("pat07_multi_pattern", f"WITH {_LINES} SELECT key, line, pattern FROM (SELECT key, line, 0 AS pattern, text FROM lines WHERE contains(text, 'Licensed') UNION ALL SELECT key, line, 1, text FROM lines WHERE regexp_matches(text, 'AKIA[A-Z]') UNION ALL SELECT key, line, 2, text FROM lines WHERE regexp_matches(text, '[0-9]{{6}}')) s")

@@ -1,5 +1,8 @@
+import re
+
 import pytest
 
+import __spark_entry__ as entry
 from delve.functions.grams import covering_grams, pack, sparse_grams, trigrams_of
 from delve.functions.patterns import PatternError, compile_patterns, find_iter, search_extent
 from delve.plans.gramplan import ALL, NONE, plan, simplify
@@ -64,3 +67,13 @@ def test_grams():
     for a in range(0, 60, 7):
         for b in range(a + 2, a + 40, 5):
             assert set(covering_grams(text[a:b])) <= set(sparse_grams(text))
+
+
+def test_word_regexp_keeps_every_matching_line(spark, tmp_path):
+    lines = ["the plain", "tab\tthe\tend", "é the ß", "über-the-top", "«the»", "theé", "éthe", "the_", "7the", "the٣", "the\u0301", "日the本", "other", "“the”…", "THE", "a theme, the end"]
+    rows = [(k, "\n".join(lines[k:] + ["x"] * k), "en", "s") for k in range(3)] + [(9, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["key"], r["line"], r["text"]) for r in entry.queries()["pat04_word_regexp"](spark, str(tmp_path)).collect())
+    word = re.compile(r"(?<![\w\u0301])the(?![\w\u0301])")  # marks are word characters to the engine, not to Python
+    want = sorted((f"docs/s/en/{d:08d}.txt", n, x) for d, t, *_ in rows for n, x in enumerate((t or "").split("\n"), 1) if word.search(x))
+    assert got == want and {x for *_, x in got} == {lines[k] for k in (0, 1, 2, 3, 4, 13, 15)}
