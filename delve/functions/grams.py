@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,6 +148,84 @@ def block_grams(blocks: DataFrame, strategy: str = "trigram", carry: tuple[str,
     return blocks.select(*carry, "doc_id", "block", "bytes").mapInArrow(run, f"{names}gram long, doc_id long, block int")
 
 
+#: Bytes of text whose sparse grams one step takes together.
+_STEP = 1 << 20
+
+
+def _stretches(weight: np.ndarray, stop: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, starts) of all :func:`sparse_grams` of texts laid end to end; ``stop`` is the end of each start's pairs."""
+    at = np.flatnonzero(np.arange(len(stop)) < stop)
+    yield 2, at
+    inner = np.full(len(at), -1, np.int64)
+    for d in range(1, limit - 1):
+        live = (at + d < stop[at]) & (inner < weight[at])
+        at, inner = at[live], inner[live]
+        if not len(at):
+            return
+        last = weight[at + d]
+        yield d + 2, at[last > inner]
+        inner = np.maximum(inner, last)
+
+
+def _covering(stretches: Iterator[tuple[int, np.ndarray]], offs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Those of :func:`covering_grams`: the longest stretch from a start, then on from its last pair."""
+    best = np.arange(offs[-1])
+    for length, at in stretches:
+        best[at] = at + length - 2
+    on, taken = best.tolist(), []
+    for lo, hi in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        at = lo
+        while at < hi - 1:
+            taken.append(at)
+            if on[at] + 1 >= hi - 1:
+                break
+            at = on[at] if on[at] > at else at + 1
+    starts = np.array(taken, np.int64)
+    length = best[starts] - starts + 2
+    for n in np.unique(length).tolist():
+        yield n, starts[length == n]
+
+
+def document_grams(docs: DataFrame, covering: bool = False, limit: int = MAX_SPARSE) -> DataFrame:
+    """(doc_id, gram binary) of each distinct sparse gram, or covering gram, of rows (doc_id, text), many texts at a time."""
+    schema = pa.schema([("doc_id", pa.int64()), ("gram", pa.binary())])
+
+    def grams(ids: pa.Array, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        offs = np.r_[0, np.cumsum([len(t) for t in texts])]
+        raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        row = np.repeat(np.arange(len(texts), dtype=np.uint32), np.diff(offs))
+        weight = _WEIGHTS[raw[:-1].astype(np.int64) * 256 + raw[1:]]
+        found = _stretches(weight, (offs[1:] - 1)[row], limit)
+        for length, at in _covering(found, offs) if covering else found:
+            own = np.concatenate([row[at].view(np.uint8).reshape(-1, 4), raw[at[:, None] + np.arange(length)]], axis=1)
+            each = pc.unique(pa.Array.from_buffers(pa.binary(4 + length), len(at), [None, pa.py_buffer(own)]))
+            if len(each):
+                own = np.frombuffer(each.buffers()[1], dtype=np.uint8)[: len(each) * (4 + length)].reshape(-1, 4 + length)
+                ends = pa.py_buffer((np.arange(len(each) + 1) * length).astype(np.int32))
+                gram = pa.Array.from_buffers(pa.binary(), len(each), [None, ends, pa.py_buffer(own[:, 4:].copy())])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[:, :4].copy().view(np.uint32).ravel())), gram], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, size, first = batch.column("doc_id"), [], 0, 0
+            for k, text in enumerate(batch.column("bytes")):
+                texts.append(text.as_py() or b"")
+                size += len(texts[-1])
+                if size >= _STEP or k + 1 == len(ids):
+                    if size:
+                        yield from grams(ids.slice(first, len(texts)), texts)
+                    texts, size, first = [], 0, k + 1
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("bytes")).mapInArrow(run, "doc_id long, gram binary")
+
+
+def trigram_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Rows (doc_id, block, bytes) for :func:`block_grams` of (doc_id, text): a trigram belongs to the block of its first byte."""
+    last = F.floor(F.greatest(F.octet_length("text") - 3, F.lit(0)) / size).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long"), F.explode(F.sequence(F.lit(0), last)).alias("block"), F.col("text").cast("binary").alias("bytes"))
+    return rows.select("doc_id", "block", F.substring("bytes", F.col("block") * size + 1, F.lit(size + 2)).alias("bytes"))
+
+
 def trigram_hex(data: Column) -> Column:
     """Distinct trigrams of a binary column as upper-case hex, by SQL functions."""
     windows = F.transform(F.sequence(F.lit(1), F.octet_length(data) - 2), lambda i: F.hex(F.substring(data, i, 3)))

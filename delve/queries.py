@@ -13,10 +13,10 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delve.functions.grams import block_grams, block_trigram_hex, is_prose, pack, pick_strategy, prose_ratios, sparse_grams, trigram_hex
+from delve.functions.grams import block_grams, block_trigram_hex, document_grams, is_prose, pack, pick_strategy, prose_ratios, trigram_blocks, trigram_hex
 from delve.functions.patterns import compile_patterns
 from delve.operators import lines as L
 from delve.operators.candidates import block_ranges, candidate_blocks, expand_blocks, gram_counts, merge_ranges, slack_blocks
@@ -216,13 +216,28 @@ def idx02(spark, sf):
     return b.select("item_id", F.explode(block_trigram_hex(F.coalesce("text", F.lit("")).cast("binary"), 64)).alias("x")).select("item_id", "x.block", "x.gram")
 
 
+def _gram_hex() -> Column:
+    return F.lpad(F.hex("gram"), 6, "0").alias("gram")
+
+
+def _document_postings(spark, sf) -> DataFrame:
+    """(gram, doc_id, block) of every document, in blocks of the production size."""
+    return block_grams(trigram_blocks(_docs(spark, sf)))
+
+
+@query("idx01_document_trigrams")
+def idx01_documents(spark, sf):
+    return _postings(_docs(spark, sf)).select("doc_id", _gram_hex())
+
+
+@query("idx02_document_block_trigrams")
+def idx02_documents(spark, sf):
+    return _document_postings(spark, sf).select("doc_id", "block", _gram_hex())
+
+
 @query("idx03_sparse_grams")
 def idx03(spark, sf):
-    @F.pandas_udf("array<binary>")
-    def grams(texts: pd.Series) -> pd.Series:
-        return pd.Series([sparse_grams((t or "").encode()) for t in texts], dtype=object)
-
-    return _t(spark, sf, "benchmark").select("item_id", F.explode(grams("text")).alias("gram")).select("item_id", F.hex("gram").alias("gram"))
+    return document_grams(_docs(spark, sf)).select("doc_id", F.hex("gram").alias("gram"))
 
 
 _PROSE = r"""SELECT doc_id, n, sum_text, sum_signs, sum_digits FROM (SELECT doc_id, strlen(t)::BIGINT AS n,
@@ -335,6 +350,17 @@ def upd09(spark, sf):
     return _item_postings(spark, sf).groupBy(gram.alias("gram")).agg(F.array_join(F.array_sort(F.collect_set("doc_id")), ",").alias("ids"))
 
 
+@query("idx22_document_stats")
+def idx22_documents(spark, sf):
+    return _document_postings(spark, sf).agg(F.countDistinct("gram").alias("grams"), F.count("*").alias("postings"))
+
+
+@query("upd09_document_postings")
+def upd09_documents(spark, sf):
+    """The postings in the order a segment has them: a row a place, so a gram that most documents hold is no longer row."""
+    return _document_postings(spark, sf).orderBy("gram", "doc_id", "block").select(_gram_hex(), "doc_id", "block")
+
+
 # ---------------------------------------------------------------- scope
 
 

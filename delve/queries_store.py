@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 from pyarrow import orc
 
-from delve.functions.grams import covering_grams
+from delve.functions.grams import document_grams
 from delve.functions.patterns import compile_patterns, find_spans, max_length, plan_kinds, search_extent
 from delve.operators import lines as L
 from delve.operators import render
@@ -290,11 +290,7 @@ def pat13(spark, sf):
 
 @query("idx04_covering_grams")
 def idx04(spark, sf):
-    @F.pandas_udf("array<binary>")
-    def grams(texts: pd.Series) -> pd.Series:
-        return pd.Series([covering_grams((t or "").encode()) for t in texts], dtype=object)
-
-    return _t(spark, sf, "benchmark").select("item_id", F.explode(grams("text")).alias("gram")).select("item_id", F.hex("gram").alias("gram"))
+    return document_grams(_docs(spark, sf), covering=True).select("doc_id", F.hex("gram").alias("gram"))
 
 
 @query("idx12_and_pruning", f"WITH {_LINES} SELECT key, line, text FROM lines WHERE contains(text, 'Licensed under')")

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from delve.functions.grams import pack, sparse_codes, sparse_grams
+from delve.functions.grams import BLOCK, covering_grams, pack, sparse_codes, sparse_grams, trigrams_of
 from delve.queries_store import planted_corpus
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +41,22 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(got.columns) == columns
     tidy = lambda df: df[columns].astype(str).sort_values(columns).reset_index(drop=True)
     pd.testing.assert_frame_equal(tidy(got), tidy(want))
+
+
+def test_gram_queries_cover_all_documents(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["the", "naïve", "quick", "日本", "x", "brown\n", "\0\0", "a" * 70]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (1, 4, 40, 400)] + [None, "", "a", "ab", "abc", "same text", "same text"]
+    texts += [("0123456789abcdef" * 8192)[: BLOCK + n] for n in (0, 1, 2, 3)] + ["ab" * BLOCK + "zqx"]
+    rows = list(enumerate(texts))
+    spark.createDataFrame([(k, t, "en", "s") for k, t in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
+    data = [(k, (t or "").encode()) for k, t in rows]
+    hexed = lambda grams: [g.hex().upper() for g in grams]
+    assert sorted(run("idx01_document_trigrams")) == sorted((k, g) for k, t in data for g in hexed(trigrams_of(t)))
+    blocks = sorted({(k, i // BLOCK, t[i : i + 3].hex().upper()) for k, t in data for i in range(len(t) - 2)})
+    assert sorted(run("idx02_document_block_trigrams")) == blocks and {b for _, b, _ in blocks} == {0, 1, 2}
+    assert run("upd09_document_postings") == sorted((g, k, b) for k, b, g in blocks)
+    assert run("idx22_document_stats") == [(len({g for *_, g in blocks}), len(blocks))]
+    assert sorted(run("idx03_sparse_grams")) == sorted((k, g) for k, t in data for g in hexed(sparse_grams(t)))
+    assert sorted(run("idx04_covering_grams")) == sorted((k, g) for k, t in data for g in hexed(covering_grams(t)))
