@@ -18,7 +18,8 @@ drops pairs that cannot link.
    it; so do sets for which all sets within r of their distance to some pivot are of their own
    class. Regions join recursively: those too large for a task are split by jobs, smaller ones
    in memory, down to exact comparisons. Where the windows are too wide to part a region, it
-   goes on as one with new pivots.
+   goes on as one with new pivots in memory; one too large for that is dealt into parts, and
+   tasks join each pair of parts that are not both of the region's largest class.
 
 Shingles are 64-bit hashes, sets are told apart by 128 bits.
 """
@@ -43,6 +44,8 @@ _SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 REGION_SHINGLES = 2_000_000
 #: Pivots of a region that jobs split, and regions split by one job: bound what is broadcast.
 PIVOTS, REGIONS_AT_ONCE = 8, 64
+#: Pairs of parts that one job joins, each at most about a region of a task: bounds what is copied at once.
+PAIRS_AT_ONCE = 256
 
 
 def slack(n: Column, percent: int) -> Column:
@@ -258,8 +261,72 @@ def _pivots(members: DataFrame, sets: DataFrame, turn: int):
     return out
 
 
+def _solved(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of regions that fit a task each."""
+    run, schema = _solver(percent)
+    dealt = members.join(sets.select("node", "tokens"), "node").select("region", "node", "n", "tag", "tokens")
+    return dealt.repartition(shuffle_partitions(members.sparkSession), "region").sortWithinPartitions("region").mapInArrow(run, schema)
+
+
+def _tagged(rows: DataFrame, found: dict[int, list]) -> DataFrame:
+    """Regions without their pivots, from rows of :func:`_assigner`: (region, node, n, tag), the tag one for all pivots known to link."""
+    pivots = F.array_sort(F.collect_set(F.when(F.col("linked"), F.col("pivot"))))
+    each = materialize(rows.groupBy("region", "node").agg(F.first("n").alias("n"), F.first("tag").alias("tag"), F.max("inside").alias("stays"), pivots.alias("pivots")))
+    known = each.select("region", F.when(~F.col("stays"), F.col("node")).alias("own"), "pivots").distinct().collect()  # 2^PIVOTS a region at most
+    name = {(region, p): p for region, of in found.items() for p, _, _ in of}
+
+    def union(region: int, keys: list[int]) -> None:
+        old = {name.setdefault((region, k), k) for k in keys}
+        for at, own in name.items():
+            if at[0] == region and own in old:
+                name[at] = min(old)
+
+    for row in known:
+        union(row["region"], [*row["pivots"], *([] if row["own"] is None else [row["own"]])])
+    for region, of in found.items():
+        for p, tag, _ in of:
+            if tag >= 0:
+                union(region, [p, tag])
+    names = each.sparkSession.createDataFrame([(region, key, own) for (region, key), own in name.items()], "of long, key long, own long")
+    key = F.coalesce(F.get("pivots", F.lit(0)), F.col("tag"))
+    rest = each.where("stays").withColumn("link", key).join(F.broadcast(names), (F.col("region") == F.col("of")) & (F.col("link") == F.col("key")), "left")
+    return rest.select("region", "node", "n", F.coalesce("own", "link").alias("tag"))
+
+
+def _in_pairs(members: DataFrame, sets: DataFrame, percent: int, limit: int) -> list[DataFrame]:
+    """Edges of regions that windows do not part: hashed parts of half a task's shingles, joined pair by pair.
+
+    Rows of a region's largest class are only joined with the rest. A job joins about PAIRS_AT_ONCE pairs.
+    """
+    classes = members.where("tag >= 0").groupBy("region", "tag").agg(F.sum("n").alias("w")).groupBy("region").agg(F.max_by("tag", F.struct("w", "tag")).alias("main"))
+    marked = members.join(classes, "region", "left").withColumn("main", F.coalesce(F.col("tag") == F.col("main"), F.lit(False)))
+    parts = lambda is_main: F.ceil(2 * F.coalesce(F.sum(F.when(F.col("main") == is_main, F.col("n"))), F.lit(0)) / limit).cast("int")
+    counts = marked.groupBy("region").agg(parts(False).alias("others"), parts(True).alias("mains")).collect()  # REGIONS_AT_ONCE at most
+    counts = [(r["region"], r["others"], r["others"] + r["mains"]) for r in counts if r["others"]]
+    if not counts:
+        return []
+    table = members.sparkSession.createDataFrame(counts, "region long, others int, k int")
+    h = F.xxhash64("region", "node")
+    part = F.when(F.col("main"), F.col("others") + F.pmod(h, F.col("k") - F.col("others"))).otherwise(F.pmod(h, F.col("others"))).cast("int")
+    dealt = materialize(marked.join(F.broadcast(table), "region").withColumn("part", part))
+    step = max(1, PAIRS_AT_ONCE // sum(k for *_, k in counts))
+    none = F.array().cast("array<int>")
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+    out = []
+    for lo in range(0, max(others for _, others, _ in counts), step):
+        own, k, end = F.col("part"), F.col("k"), F.least(F.lit(lo + step), F.col("others"))
+        later = F.when((own >= lo) & (own < end), F.when(k == 1, F.array(F.lit(0))).otherwise(span(own + 1, k - 1))).otherwise(none)
+        pairs = F.concat(F.transform(later, lambda j: F.struct(own.alias("i"), j.alias("j"))), F.transform(span(F.lit(lo), F.least(end, own) - 1), lambda i: F.struct(i.alias("i"), own.alias("j"))))
+        copies = dealt.select("region", "node", "n", "tag", F.explode(pairs).alias("x")).withColumn("region", F.xxhash64("region", "x.i", "x.j")).drop("x")
+        out.append(materialize(_solved(copies, sets, percent).where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return out
+
+
 def _split(members: DataFrame, sets: DataFrame, percent: int, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Split regions of over ``limit`` shingles until none is left: (regions for tasks, edges found on the way)."""
+    """Split regions of over ``limit`` shingles until none is left: (regions for tasks, edges found on the way).
+
+    A region whose cells hold over 1.25 times its rows, or one of them over 0.75 times, is joined in pairs instead.
+    """
     spark = members.sparkSession
     leaves, edges, turn = [], [], 0
     while True:
@@ -276,12 +343,18 @@ def _split(members: DataFrame, sets: DataFrame, percent: int, limit: int) -> tup
         run, schema = _assigner(shared, percent)
         rows = materialize(now.join(sets.select("node", "tokens"), "node").select("region", "node", "n", "tag", "tokens").mapInArrow(run, schema))
         edges.append(rows.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        cell = rows.where("inside").withColumn("region", F.xxhash64("region", "pivot", F.lit(turn)))
+        cell = rows.where("inside").withColumn("of", F.col("region")).withColumn("region", F.xxhash64("region", "pivot", F.lit(turn)))
         rim = cell.where("not same").groupBy("region").agg(F.min("d").alias("rim"))
         r = (100 - percent) / 100
         kept = cell.join(rim, "region").where(F.expr("not same") | (F.col("d") >= F.col("rim") - F.lit(r + 1e-9)))
-        new = kept.select("region", "node", "n", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("tag")).alias("tag"))
-        members = materialize(new.unionByName(waiting.select("region", "node", "n", "tag")))
+        new = materialize(kept.select("of", "region", "node", "n", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("tag")).alias("tag")))
+        cells = new.groupBy("of", "region").agg(F.count("*").alias("c")).groupBy("of").agg(F.sum("c").alias("total"), F.max("c").alias("most"))
+        rest = rows.where("inside").groupBy(F.col("region").alias("of")).agg(F.countDistinct("node").alias("rest"))
+        whole = [r["of"] for r in cells.join(rest, "of").where("total > 1.25 * rest or most > 0.75 * rest").collect()]  # REGIONS_AT_ONCE at most
+        if whole:
+            edges += _in_pairs(materialize(_tagged(rows.where(F.col("region").isin(whole)), {k: found[k] for k in whole})), sets, percent, limit)
+        new = new.where(~F.col("of").isin(whole)) if whole else new
+        members = materialize(new.select("region", "node", "n", "tag").unionByName(waiting.select("region", "node", "n", "tag")))
         turn += 1
 
 
@@ -330,9 +403,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     work = leaves[0]
     for leaf in leaves[1:]:
         work = work.unionByName(leaf)
-    run, schema = _solver(percent)
-    dealt = work.join(sets.select("node", "tokens"), "node").select("region", "node", "n", "tag", "tokens")
-    roots = dealt.repartition(shuffle_partitions(spark), "region").sortWithinPartitions("region").mapInArrow(run, schema)
+    roots = _solved(work, sets, percent)
     if edges:
         for more in edges:
             roots = roots.unionByName(more.select(F.col("a").alias("node"), F.col("b").alias("root")))

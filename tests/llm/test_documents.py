@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from delve.llm import jaccard_join
 from delve.llm.decontamination import benchmark_hits, contaminated, decontaminate
 from delve.llm.exact_dedup import deduplicate, exact_groups
 from delve.llm.jaccard_join import jaccard_components, keep_one_per_component
@@ -84,6 +85,24 @@ def test_jaccard_join(docs, limit):
     assert len({v[1] for v in want.values()}) < len(want) - 5
 
 
+def test_jaccard_join_of_near_copies_far_above_a_task(spark, monkeypatch):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(4000)]
+    base, rows = rng.sample(vocab, 90), []
+    for k in range(180):
+        words = list(base)
+        for at in rng.sample(range(90), rng.choice([1, 2, 2, 3, 3, 4])):
+            words[at] = rng.choice(vocab)
+        rows.append((k, " ".join(words), None))
+    turns, pivots = [], jaccard_join._pivots
+    monkeypatch.setattr(jaccard_join, "_pivots", lambda *a: turns.append(1) or (pivots(*a) if len(turns) < 6 else pytest.fail("regions do not get smaller")))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_components(df, region_shingles=600).collect()}  # 26 times as many shingles
+    want = components(rows)
+    assert got == want
+    assert 5 < len({v[1] for v in want.values()}) < 175
+
+
 def test_jaccard_join_keeps_one(docs, none):
     df, rows = docs
     kept = keep_one_per_component(df)
