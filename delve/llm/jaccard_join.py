@@ -383,11 +383,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = found.where("owner is null").select("doc_id", "n", "m", "hi", "lo")
     hits = found.where("owner is not null").groupBy("owner").agg(F.sum("hits").alias("hits"))
     classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("m").alias("m"))
-    classes = materialize(classes.withColumn("node", F.coalesce("rep", F.xxhash64("hi", "lo"))))
+    firsts = classes.where("rep is not null").groupBy("rep").agg(F.min(F.struct("hi", "lo")).alias("first"))
+    node = F.when(F.struct("hi", "lo") == F.col("first"), F.col("rep")).otherwise(F.xxhash64("hi", "lo"))
+    classes = materialize(classes.join(firsts, "rep", "left").select("hi", "lo", "rep", "n", "m", node.alias("node")))
     near = classes.join(hits, F.col("hi") == F.col("owner"), "left").where(F.coalesce("hits", F.lit(0)) >= F.col("m") - slack(F.col("n"), percent))
     run, schema = _sets(size)
     texts = near.select("rep", "node", "hi", "lo").join(source, F.col("rep").eqNullSafe(F.col("doc_id"))).select("node", "hi", "lo", "text")
     sets = materialize(texts.mapInArrow(run, schema))
+    again = materialize(sets.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node"))  # repeated rows
+    if not again.isEmpty():
+        sets = materialize(sets.join(again, "node", "left_anti").unionByName(sets.join(again, "node", "left_semi").dropDuplicates(["node"])))
 
     tok = sets.select("node", "n", F.explode("tokens").alias("t"))
     freq = tok.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
@@ -404,6 +409,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for leaf in leaves[1:]:
         work = work.unionByName(leaf)
     roots = _solved(work, sets, percent)
+    ids = rows.where("n > 0 and doc_id is not null")
+    first = F.min(F.struct("hi", "lo")).alias("first")
+    shared = ids.groupBy("doc_id").agg(first, F.max(F.struct("hi", "lo")).alias("last")).where("first <> last").select("doc_id", "first")
+    shared = materialize(ids.join(shared, "doc_id").select("hi", "lo", F.col("first.hi").alias("hi2"), F.col("first.lo").alias("lo2")).distinct())
+    if not shared.isEmpty():  # ids of several sets
+        names = classes.select("hi", "lo", "node")
+        others = names.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("node").alias("b"))
+        edges.append(shared.join(names, ["hi", "lo"]).join(others, ["hi2", "lo2"]).select(F.col("node").alias("a"), "b"))
     if edges:
         for more in edges:
             roots = roots.unionByName(more.select(F.col("a").alias("node"), F.col("b").alias("root")))

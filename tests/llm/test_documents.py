@@ -103,6 +103,18 @@ def test_jaccard_join_of_near_copies_far_above_a_task(spark, monkeypatch):
     assert 5 < len({v[1] for v in want.values()}) < 175
 
 
+def test_jaccard_join_of_repeated_rows(spark):
+    words = [f"w{i}" for i in range(80)]
+    near = [*words[:-1], "other"]
+    far, farther = [f"x{i}" for i in range(40)], [f"y{i}" for i in range(40)]
+    texts = [(3, words), (3, words), (5, near), (5, near), (5, near), (6, far), (6, [*far[:-1], "z"]), (6, farther), (7, farther), (8, far), (9, farther[:7])]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts], "doc_id long, text string").repartition(3)
+    for limit in (2_000_000, 60):
+        got = collections.Counter(tuple(r) for r in jaccard_components(df, region_shingles=limit).collect())
+        want = collections.Counter((k, len(t) - 4, {3: 3, 5: 3, 9: 9}.get(k, 6)) for k, t in texts)
+        assert got == want
+
+
 def test_jaccard_join_keeps_one(docs, none):
     df, rows = docs
     kept = keep_one_per_component(df)
