@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import zipfile
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -303,10 +304,20 @@ def idx21(spark, sf):
     return _candidates(docs, compile_patterns(["AKI", "toke", ".*"])).select("doc_id", F.explode("patterns").alias("pattern"))
 
 
+def _hit_offsets(docs: DataFrame, word: str) -> DataFrame:
+    """The byte offset of every occurrence, non-overlapping, in documents (..., text)."""
+    parts = F.split("text", re.escape(word), -1)
+    lengths = F.transform(parts, lambda p: F.octet_length(p).cast("long"))
+    step = lambda at, n: F.concat(at, F.array(F.coalesce(F.get(at, F.size(at) - 1) + len(word.encode()), F.lit(0).cast("long")) + n))
+    offsets = F.aggregate(F.slice(lengths, F.lit(1), F.size(lengths) - 1), F.array().cast("array<long>"), step)
+    return docs.where(F.contains("text", F.lit(word))).withColumn("offset", F.explode(offsets))
+
+
 def _hit_blocks(spark, sf) -> DataFrame:
-    docs = _docs(spark, sf).where(F.contains("text", F.lit("Licensed")))
-    block = F.floor(F.octet_length(F.substring_index("text", "Licensed", 1)) / 1024).cast("int")
-    return docs.select("doc_id", block.alias("block"), F.floor((F.octet_length("text") - 1) / 1024).cast("int").alias("last"))
+    """The blocks of all occurrences."""
+    hits = _hit_offsets(_docs(spark, sf), "Licensed")
+    last = F.floor((F.octet_length("text") - 1) / 1024).cast("int")
+    return hits.select("doc_id", F.floor(F.col("offset") / 1024).cast("int").alias("block"), last.alias("last")).distinct()
 
 
 _BLOCKS = "SELECT doc_id, strlen(string_split(text, 'Licensed')[1]) // 1024 AS b, (strlen(text) - 1) // 1024 AS l FROM documents WHERE contains(text, 'Licensed')"

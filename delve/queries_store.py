@@ -31,7 +31,7 @@ from delve.operators.index import MERGE_BYTES, MERGE_DOCS, Index, diff_listing,
 from delve.operators.scope import Scope, candidate_prefix, parse_instant, prefix_range
 from delve.operators.search import list_files, search, search_stats
 from delve.plans.gramplan import plan, simplify
-from delve.queries import _DOCS, _LINES, _candidates, _docs, _postings, _t, query
+from delve.queries import _DOCS, _LINES, _candidates, _docs, _hit_offsets, _postings, _t, query
 from delve.sources.corpus import decode_corpus, document_keys, list_objects, read_corpus, scan_documents, table_corpus
 from delve.sources.decode import Limits, decode_requested
 
@@ -336,7 +336,7 @@ def mat14(spark, sf):
 
 @query("mat17_line_of_offset", f"WITH {_DOCS} SELECT key, strlen(string_split(text, 'Licensed')[1])::BIGINT AS \"offset\", (len(string_split(string_split(text, 'Licensed')[1], chr(10))))::BIGINT AS line FROM docs WHERE contains(text, 'Licensed')")
 def mat17(spark, sf):
-    hits = _docs(spark, sf).where(F.contains("text", F.lit("Licensed"))).select("key", F.octet_length(F.substring_index("text", "Licensed", 1)).cast("long").alias("offset"))
+    hits = _hit_offsets(_docs(spark, sf), "Licensed").select("key", "offset")
     blocks = decode_corpus(_corpus(spark, sf), block=1024).where("display_key is not null").select(F.col("display_key").alias("key"), "first_line", "start", "bytes")
     held = blocks.join(hits, "key").where((F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("start") + F.octet_length("bytes")))
     head = F.substring("bytes", F.lit(1), (F.col("offset") - F.col("start")).cast("int")).cast("string")

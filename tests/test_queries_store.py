@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import duckdb
 import pandas as pd
@@ -60,3 +61,27 @@ def test_gram_queries_cover_all_documents(spark, tmp_path):
     assert run("idx22_document_stats") == [(len({g for *_, g in blocks}), len(blocks))]
     assert sorted(run("idx03_sparse_grams")) == sorted((k, g) for k, t in data for g in hexed(sparse_grams(t)))
     assert sorted(run("idx04_covering_grams")) == sorted((k, g) for k, t in data for g in hexed(covering_grams(t)))
+
+
+def test_every_occurrence_counts(spark, tmp_path):
+    rng = random.Random(9)
+    texts = ["Licensed", "none", None, "LicensedLicensed é Licensed\nx", "naïve\n" * 300 + "Licensed\n" + "日本 " * 2000 + "a Licensed b\n" + "z" * 1015 + "Licensed"]
+    texts += ["".join(rng.choices(["word\n", "ö" * 40, "Licensed ", "x" * 700], [5, 5, 1, 3], k=60)) for _ in range(20)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect())
+    slack, ranges, merged, places = [], [], [], []
+    for k, text in enumerate(texts):
+        data = (text or "").encode()
+        at = [m.start() for m in re.finditer(b"Licensed", data)]
+        own = {a // 1024 for a in at}
+        near = {b for a in own for b in (a - 1, a, a + 1) if 0 <= b <= (len(data) - 1) // 1024}
+        slack += [(k, b) for b in near]
+        runs = [(k, b, next(e for e in range(b + 1, b + 999) if e not in near)) for b in near if b - 1 not in near]
+        ranges += runs
+        merged += [(*r, "lines") for r in runs]  # the broader of the two extents, as every run has a hit
+        places += [(f"docs/s/en/{k:08d}.txt", a, data[:a].count(b"\n") + 1) for a in at]
+    assert run("idx15_block_slack") == sorted(slack)
+    assert run("idx17_ranges") == sorted(ranges) and max(sum(r[0] == k for r in ranges) for k in range(len(texts))) > 1
+    assert run("idx18_merge_ranges") == sorted(merged)
+    assert run("mat17_line_of_offset") == sorted(places)
