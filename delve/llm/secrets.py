@@ -6,7 +6,8 @@ Its encoding is the smallest alphabet that holds it; over that alphabet's symbol
 the middle, and serial correlation. Fisher's method combines them. Over all candidates of the corpus a
 weighted Benjamini-Hochberg step-up rejects randomness at a false-discovery rate; a candidate's
 weight is its length over the mean length, as longer strings say more. What is not rejected is
-reported as random.
+reported as random. A run that mixes ``+ /`` with ``- _`` fits no encoding: its longest parts without
+the one pair and those without the other are candidates, and two of them may overlap.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ ENCODINGS = (
 )
 _SETS = [(name, frozenset(symbols), {c: k for k, c in enumerate(symbols)}) for name, symbols in ENCODINGS]
 MIN_RUN = 20
+_PARTS = tuple(re.compile(f"[A-Za-z0-9{pair}]{{{MIN_RUN},}}") for pair in ("+/", "_-"))
 _BINS = 600  # of -log10(p / weight), 0.05 wide
 
 
@@ -64,6 +66,17 @@ def encoding(run: str) -> tuple[str, dict[str, int]] | None:
     return next(((name, codes) for name, symbols, codes in _SETS if own <= symbols), None)
 
 
+def parts(run: str) -> list[tuple[int, int]]:
+    """The run, or if it mixes ``+ /`` with ``- _``, its parts without the one or the other, those inside another dropped."""
+    if not ({*"+/"} & set(run) and {*"-_"} & set(run)):
+        return [(0, len(run))]
+    out: list[tuple[int, int]] = []
+    for start, end in sorted({m.span() for p in _PARTS for m in p.finditer(run)}, key=lambda x: (x[0], -x[1])):
+        if not out or end > out[-1][1]:
+            out.append((start, end))
+    return out
+
+
 def _chi2_tail(x: float, dof: int) -> float:
     """P(chi-squared > x), by the cube-root normal approximation."""
     if dof <= 0:
@@ -136,14 +149,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 base[row] = [{"kind": k, "start": a, "end": b} for k, a, b in base_spans(text)]
             for row, a, b in zip((np.searchsorted(offs, start, side="right") - 1).tolist(), start.tolist(), end.tolist(), strict=True):
                 run = raw[a:b].decode("ascii")
-                kind = encoding(run)
-                if kind is None:
-                    continue
-                first = _points(raw[offs[row] : a], a)
-                if any(x["start"] < first + len(run) and first < x["end"] for x in base[row]):
-                    continue
-                p = battery(np.array([kind[1][c] for c in run]), len(kind[1]))
-                found[row].append({"start": first, "end": first + len(run), "p": p})
+                head = _points(raw[offs[row] : a], a)
+                for x, y in parts(run):
+                    kind = encoding(run[x:y])
+                    if kind is None or any(s["start"] < head + y and head + x < s["end"] for s in base[row]):
+                        continue
+                    p = battery(np.array([kind[1][c] for c in run[x:y]]), len(kind[1]))
+                    found[row].append({"start": head + x, "end": head + y, "p": p})
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(base, _SCHEMA.field(1).type), pa.array(found, _SCHEMA.field(2).type)], schema=_SCHEMA)
 
 

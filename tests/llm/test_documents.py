@@ -15,7 +15,7 @@ from delve.llm.jaccard_join import jaccard_components, keep_one_per_component
 from delve.llm.mixing import mix_sources
 from delve.llm.quality import best_threshold, keep_quality, kth_largest, quality_weights
 from delve.llm.repeats import multikey_sort, as_words, repeated_spans
-from delve.llm.secrets import battery, base_spans, find_secrets
+from delve.llm.secrets import battery, base_spans, find_secrets, parts
 
 SCHEMA = "doc_id long, text string, source string, key string, digest string, HI long, words int, n long, rank int, label int"
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -273,6 +273,19 @@ def test_quality(spark):
     assert 0 < best_threshold(np.array([1.0, 2.0]), np.array([-1.0, 0.0])) < 1 and best_threshold(np.array([]), np.array([1.0])) == float("-inf")
 
 
+def test_secrets_joined_by_symbols_of_another_encoding(spark):
+    rng = random.Random(6)
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(plain, k=18)) + c + "".join(rng.choices(plain, k=21)) for c in "/+-_"]
+    texts = [f"é prod-{keys[0]} end", f"{keys[1]}_v1", f"a/{keys[2]}", f"x {keys[3]}+b2", f"a/b-c/{'z1' * 20}", "w/" * 9 + "a-b_c1"]
+    got = find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "random"] for r in got}
+    for k, key in enumerate(keys):
+        assert key in spans[k]
+    assert spans[4] == spans[5] == []
+    assert parts("a" * 25) == [(0, 25)] and parts("a/" * 15 + "b-" * 15) == [(0, 31), (30, 60)]
+
+
 def test_secrets(spark, none):
     rng = random.Random(4)
     import numpy as np
