@@ -10,10 +10,13 @@ import gzip
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -493,8 +496,16 @@ def snk07(spark, sf):
 
 @query("fmt11_rows_as_json", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS line FROM region")
 def fmt11(spark, sf):
-    r = _t(spark, sf, "region")
-    return r.select(F.to_json(F.struct("r_regionkey", "r_name"), {"ignoreNullFields": "false"}).alias("line"))
+    def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            buffer = io.BytesIO()
+            pq.write_table(pa.Table.from_batches([batch]), buffer)
+            yield pa.RecordBatch.from_pydict({"key": [f"region/{part}-{k}.parquet"], "content": [buffer.getvalue()]})
+
+    rows = _t(spark, sf, "region").select("r_regionkey", "r_name").mapInArrow(pack_rows, "key string, content binary")
+    corpus = rows.select("key", F.sha2("content", 256).alias("version"), F.octet_length("content").cast("long").alias("encoded_size"), "content")
+    return L.plain_lines(scan_documents(corpus).withColumn("text", F.col("bytes").cast("string"))).select(F.col("text").alias("line"))
 
 
 def _packed(spark, sf, pack_one, table: str, key, columns: list[str]) -> DataFrame:

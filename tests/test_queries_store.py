@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import re
@@ -85,3 +86,11 @@ def test_every_occurrence_counts(spark, tmp_path):
     assert run("idx17_ranges") == sorted(ranges) and max(sum(r[0] == k for r in ranges) for k in range(len(texts))) > 1
     assert run("idx18_merge_ranges") == sorted(merged)
     assert run("mat17_line_of_offset") == sorted(places)
+
+
+def test_rows_as_json_come_from_the_decoder(spark, tmp_path):
+    rows = [(1, 'quote " and \\ é'), (2, None), (None, "x")]
+    spark.createDataFrame(rows, "r_regionkey int, r_name string").write.parquet(str(tmp_path / "region.parquet"))
+    found = entry.queries()["fmt11_rows_as_json"](spark, str(tmp_path))
+    assert sorted(r["line"] for r in found.collect()) == sorted(json.dumps({"r_regionkey": k, "r_name": n}, ensure_ascii=False, separators=(",", ":")) for k, n in rows)
+    assert "Arrow" in found._jdf.queryExecution().toString()  # no SQL function makes the lines
