@@ -98,14 +98,26 @@ def spans(data: np.ndarray, offs: np.ndarray, classes: np.ndarray) -> tuple[np.n
     return np.flatnonzero(real & (cls != before)), np.flatnonzero(real & (cls != after)) + 1
 
 
-def prefix_hash(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Prefix sums of the polynomial hash; see :func:`hash_of`."""
-    up, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(codes[data] * up, dtype=np.uint64, out=out[1:])
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial hash of 64-bit symbols; see :func:`hash_of`."""
+    up, _ = powers(len(values))
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up, dtype=np.uint64, out=out[1:])
     return out
 
 
+def prefix_hash(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """:func:`prefix_sums` of bytes by their codes."""
+    return prefix_sums(codes[data])
+
+
+def word_codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 32-bit code for each word (a run without SPACES), and the offsets of the texts in words."""
+    starts, ends = spans(data, offs, WORDS)
+    codes = hash_of(prefix_hash(data, byte_codes(False)), starts, ends) >> np.uint64(32)
+    return codes.astype(np.uint32), np.searchsorted(starts, offs)
+
+
 def hash_of(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte ranges, equal for equal bytes wherever they stand."""
     _, down = powers(len(prefix))

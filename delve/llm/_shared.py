@@ -16,9 +16,12 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (local runs), a folder under /tmp."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a folder under /tmp, on local masters only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -29,7 +32,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Cuts the lineage, so a lost executor costs one stage and not the whole job, and keeps a
     Python stage that two consumers need from running twice. The shuffle files of the finished
-    step are released. Tables are deleted when the interpreter ends.
+    step are released. Tables are deleted by :func:`release`, or else when the interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/delve-{uuid.uuid4().hex}"
@@ -39,7 +42,22 @@ def materialize(df: DataFrame) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    for table in tables:
+        path = table.stored_at
+        if path in _written:
+            _delete(_written.pop(path), path)
 
 
 def drop_tables(spark: SparkSession | None = None) -> None:
@@ -48,9 +66,7 @@ def drop_tables(spark: SparkSession | None = None) -> None:
         if spark is not None and owner is not spark:
             continue
         try:
-            jvm = owner.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(owner.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(owner, path)
         except Exception:  # the session is gone, and with it the way to the file system
             pass
         _written.pop(path, None)

@@ -14,7 +14,7 @@ from .html_extraction import extract_main_text
 from .jaccard_join import jaccard_components
 from .mixing import mix_sources
 from .quality import quality_weights
-from .repeats import repeated_spans
+from .repeats import repeated_passages, repeated_spans
 from .secrets import KINDS, find_secrets
 from .url_filter import judge_urls, split_rule
 from .warc import read_archives, write_archives
@@ -54,9 +54,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_spans(_table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    docs = _table(spark, sf_dir, "documents")
+    total = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    found = repeated_spans(docs)
+    words = repeated_passages(docs).select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), total("spans").alias("n_passage_words")).distinct()
+    both = found.join(words, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")))
+    return both.select("doc_id", "n_bytes", total("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_passage_words")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from delve.llm.exact_dedup import deduplicate, exact_groups
 from delve.llm.jaccard_join import jaccard_components, keep_one_per_component
 from delve.llm.mixing import mix_sources
 from delve.llm.quality import best_threshold, keep_quality, kth_largest, quality_weights
-from delve.llm.repeats import multikey_sort, as_words, repeated_spans
+from delve.llm.repeats import as_words, multikey_sort, repeated_passages, repeated_spans
 from delve.llm.secrets import battery, base_spans, find_secrets, parts
 
 SCHEMA = "doc_id long, text string, source string, key string, digest string, HI long, words int, n long, rank int, label int"
@@ -236,6 +236,52 @@ def test_repeated_spans(docs, none, step, group):
     assert repeated_spans(none).count() == 0
 
 
+def test_repeated_spans_of_frequent_grams(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=150))
+    texts = []
+    for k in range(300):  # the passage at many places, between bytes that differ or follow a few patterns
+        a, b = rng.randint(0, 40), rng.randint(110, 150)
+        texts.append(rng.choice(["", "xx" * 30, "".join(rng.choices("ij", k=50))]) + passage[a:b] + rng.choice(["", "yy" * 40, "".join(rng.choices("kl", k=70))]))
+    rows = [(k, t, None) for k, t in enumerate([*texts, texts[0], None, "é" * 90])] + [(None, passage * 2, None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    want = brute_spans(rows, 60)
+    for group in (2, 40):
+        got = {r["doc_id"]: (r["n_bytes"], [tuple(s) for s in r["spans"]], r["kept_sha256"]) for r in repeated_spans(df, window=60, step=32, group=group).collect()}
+        assert got == want
+    twice = df.where("doc_id < 4").unionByName(df.where("doc_id < 2")).unionByName(df.where("doc_id is null")).unionByName(df.where("doc_id is null"))
+    got = collections.Counter((r["doc_id"], sum(s["end"] - s["start"] for s in r["spans"]) == r["n_bytes"]) for r in repeated_spans(twice, window=60, step=32).collect())
+    assert got[(0, True)] == got[(1, True)] == got[(None, True)] == 2 and sum(got.values()) == 8
+
+
+def brute_passages(rows, words):
+    texts = {k: [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x] for k, t, _ in rows}
+    seen = collections.defaultdict(set)
+    for k, w in texts.items():
+        for i in range(len(w) - words + 1):
+            seen[tuple(w[i : i + words])].add(k)
+    out = {}
+    for k, w in texts.items():
+        cover = bytearray(len(w))
+        for i in range(len(w) - words + 1):
+            if len(seen[tuple(w[i : i + words])]) > 1:
+                cover[i : i + words] = b"\1" * words
+        out[k] = (len(w), [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(cover))])
+    return out
+
+
+@pytest.mark.parametrize("group", [2000, 1])
+def test_repeated_passages(docs, none, spark, group):
+    df, rows = docs
+    own = " ".join(["again and again"] * 30)  # repeats in its own text only
+    df = df.select("doc_id", "text").unionByName(spark.createDataFrame([(900, own)], "doc_id long, text string"))
+    got = {r["doc_id"]: (r["n_words"], [tuple(s) for s in r["spans"]]) for r in repeated_passages(df, words=13, step=6, group=group).collect()}
+    want = brute_passages([*rows, (900, own, None)], 13)
+    assert got == want
+    assert got[900] == (90, []) and sum(len(v[1]) for v in want.values()) > 20
+    assert repeated_passages(none).count() == 0
+
+
 def test_multikey_sort():
     rng = random.Random(5)
     strings = [bytes(rng.choices(b"ab", k=rng.randint(0, 30))) for _ in range(200)]
