@@ -253,11 +253,20 @@ _OTHER = {
     "section": "comments comment replies reply discussion disqus responses respond reader readers thread commentlist reviews review feedback",
 }
 _MAIN = "article content main post entry story text body page maincontent articlebody primary column container wrapper"
-_BITS = "the of and in to re an er on at en is or es it ou th ing ha he nd ble ed tion an ly".split()
+#: Everyday words of four languages, to fill composed pages with.
+_WORDS = (
+    "water morning house garden river market people children window paper summer music street doctor teacher kitchen winter bridge letter island "
+    "after before under between slowly often always never small large green old young quick because while where until walked found carried opened wrote "
+    "haus garten wasser morgen fenster brücke kinder straße freund arbeit langsam immer zwischen schnell schrieb gefunden "
+    "maison jardin matin fenêtre enfants école rivière travail toujours lentement petite écrivait trouvé "
+    "casa jardín mañana ventana niños escuela camino trabajo siempre despacio pequeño escribió agua y de la le und der"
+).split()
+#: What heads of pages hold beside the title.
+_HEADS = ('<meta name="viewport" content="width=device-width">', '<link rel="stylesheet" href="/main.css">', "<style>.lead > p { color: #333 } /* a < b */</style>", '<script type="application/ld+json">{"@type":"Article"}</script>', "<script>if (a < b && c) { load('<div>'); }</script>", "<noscript><img src=/pixel.gif></noscript>")
 
 
 def _sentence(rng: random.Random, words: int) -> str:
-    out = ["".join(rng.choice(_BITS) for _ in range(rng.randint(1, 4))) for _ in range(max(1, words))]
+    out = [rng.choice(_WORDS) for _ in range(max(1, words))]
     return " ".join(out).capitalize() + rng.choice([".", ".", ".", "!", "?", "", "***", " 12"])
 
 
@@ -303,20 +312,20 @@ def _article(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
         put("<h1>", rng.randint(2, 10), "</h1>")
     for _ in range(rng.randint(1, 9)):
         kind = rng.random()
-        if kind < 0.62:
+        if kind < 0.5:
             put(rng.choice(["<p>", "<p>", "<p><b>", '<p class="lead">']), rng.choice([1, 2, 4, 20, 60, 120]), rng.choice(["</p>", "</p>", "<br>"]))
-        elif kind < 0.7:
+        elif kind < 0.58:
             put("<h2>", rng.randint(1, 6), "</h2>")
-        elif kind < 0.78:
+        elif kind < 0.65:
             parts.append("<ul>")
             for _ in range(rng.randint(1, 4)):
                 put("<li>", rng.randint(1, 15), "</li>")
             parts.append("</ul>")
-        elif kind < 0.83:
+        elif kind < 0.7:
             put("<blockquote>", rng.randint(5, 40), "</blockquote>")
-        elif kind < 0.87:
+        elif kind < 0.74:
             put("<pre>", rng.randint(3, 30), "</pre>")
-        elif kind < 0.9:
+        elif kind < 0.78:
             parts.append("<table><tr>")
             for _ in range(rng.randint(2, 6)):
                 put("<td>", rng.randint(1, 4), "</td>")
@@ -332,7 +341,9 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
     """A page and the label of each of its blocks, 1 for main text."""
     title = _sentence(rng, 4)
     blocks: list[tuple[str, int]] = [(title, 0)]
-    parts = ["<!DOCTYPE html><html><head><title>", title, "</title><style>p{margin:0}</style><script>var t='</p>';</script></head><body>"]
+    extra = [x for x in _HEADS if rng.random() < 0.3]
+    cut = rng.randint(0, len(extra))
+    parts = ["<!DOCTYPE html><html><head>", *extra[:cut], "<title>", title, "</title>", *extra[cut:], "</head><body>"]
 
     def others(low: int, high: int) -> None:
         for _ in range(rng.randint(low, high)):
@@ -364,7 +375,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[list[tuple[str, ...]], l
 
 
 @functools.lru_cache(maxsize=4)
-def trained_field(pages: int = 500, seed: int = 11) -> ChainField:
+def trained_field(pages: int = 3_000, seed: int = 11) -> ChainField:
     """The field trained on ``pages`` labelled pages; the same weights for the same arguments."""
     return ChainField().train(labelled_pages(pages, seed))
 

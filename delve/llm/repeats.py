@@ -252,20 +252,22 @@ def _halved(hot: DataFrame, window: int, step: int, width: int, group: int, acro
     Rows of a cell hold the windows that start ``low`` to ``high`` symbols before their anchors; all of
     them share the ``core``: the last ``low`` symbols before the anchor and the first ``window - high`` from it.
     """
-    spans, fitting, spent = [], [], []
+    spans, fitting = [], []
     rows = hot.withColumns({"low": F.lit(0), "high": F.lit(step - 1), "many": F.lit(False)})
-    at = F.struct("hi", "at")
+    place = F.struct("hi", "at")
     while True:
         keyed = rows.withColumn("same", F.sha2(F.concat("left", "right"), 256))
-        groups = keyed.groupBy(F.col("same").alias("same_"), F.col("far").alias("far_"), F.col("near").alias("near_")).agg(F.min(at).alias("first"), F.count("*").alias("n"), ((F.min("hi") != F.max("hi")) | F.max("many")).alias("texts"))
-        joined = materialize(keyed.join(groups, (F.col("same") == F.col("same_")) & (F.col("far") == F.col("far_")) & (F.col("near") == F.col("near_"))).drop("same_", "far_", "near_"))
-        again = F.col("texts") if across else F.col("n") > 1
-        spans.append(joined.where((F.col("n") > 1) & again).select("hi", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + window).alias("end")))
+        # counts are tables of their own, so that Spark splits the hot keys of the joins with them
+        groups = materialize(keyed.groupBy("same", "far", "near").agg(F.min(place).alias("first"), F.count("*").alias("n"), ((F.min("hi") != F.max("hi")) | F.max("many")).alias("texts")))
+        again = groups.where(F.col("n") > 1).where("texts" if across else "true").select(F.col("same").alias("same_"), F.col("far").alias("far_"), F.col("near").alias("near_"))
+        equal = keyed.select("hi", "at", "far", "near", "same").join(again, (F.col("same") == F.col("same_")) & (F.col("far") == F.col("far_")) & (F.col("near") == F.col("near_")))
+        spans.append(equal.select("hi", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + window).alias("end")))
+        firsts = groups.select(F.col("first.hi").alias("hi"), F.col("first.at").alias("at"), "far", "near", "texts")
         core = F.sha2(F.concat(F.expr(f"substring(left, length(left) - low * {width} + 1, low * {width})"), F.expr(f"substring(right, 1, ({window} - high) * {width})")), 256)
-        single = joined.where(at == F.col("first")).select("hi", "at", "far", "near", "left", "right", "low", "high", F.col("texts").alias("many"), core.alias("core"))
-        sizes = single.groupBy(F.col("core").alias("core_"), F.col("low").alias("low_"), F.col("high").alias("high_")).agg(F.count("*").alias("c")).where("c > 1")
-        sized = materialize(single.join(sizes, (F.col("core") == F.col("core_")) & (F.col("low") == F.col("low_")) & (F.col("high") == F.col("high_"))).drop("core", "core_", "low_", "high_"))
-        spent += [joined, sized]
+        single = materialize(rows.join(firsts, ["hi", "at", "far", "near"]).select("hi", "at", "far", "near", "left", "right", "low", "high", F.col("texts").alias("many"), core.alias("core")))
+        sizes = materialize(single.groupBy("core", "low", "high").agg(F.count("*").alias("c")).where("c > 1"))
+        sized = materialize(single.join(sizes, ["core", "low", "high"]).drop("core"))
+        release(single, sizes)
         fitting.append(sized.where(F.col("c") <= group).select("hi", "at", "far", "near", "many", "left", "right"))
         large = sized.where(F.col("c") > group)
         if large.isEmpty():

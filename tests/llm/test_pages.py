@@ -54,6 +54,108 @@ def test_extraction_accuracy():
     assert right / total > 0.98
 
 
+#: Pages written by hand, unlike the composed ones; lines of main text start with "+ ", others with "- ", markup with nothing.
+WRITTEN = (
+    """<html><head><title>
+- Ferry returns to the northern route | The Harbour Post
+</title></head><body><div id="masthead"><a href="/">
+- The Harbour Post
+</a><div class="menu"><a href="/news">
+- News
+</a></div></div><main><article><header>
+</header><h1>
++ Ferry returns to the northern route
+</h1><p>
++ After eleven months in dry dock the ferry sailed again on Tuesday, carrying forty passengers and a van of bread.
+</p><figure><img src="f.jpg"></figure><p>
++ The captain said the engine had never sounded better.
+</p><ul><li>
++ First sailing: 06:10
+</li><li>
++ Last sailing: 21:40
+</li></ul></article></main><aside class="related"><h3>
+- More stories
+</h3><ul><li><a href="/a">
+- Bridge closed for repairs
+</a></li><li><a href="/b">
+- Market moves indoors
+</a></li></ul></aside><div class="cookie-notice">
+- We use cookies to make this site work.
+<button>
+- Accept
+</button></div><footer><p>
+- Copyright The Harbour Post. All rights reserved.
+</p></footer></body></html>""",
+    """<!doctype html><body><nav class="breadcrumbs"><span><a href="/">
+- Home
+</a></span><p><a href="/recipes">
+- Recipes
+</a></p></nav><div class="post"><h2>
++ Lentil soup for cold evenings
+</h2><p>
++ Rinse two cups of red lentils &amp; leave them to drain.
+</p><blockquote>
++ My grandmother never measured anything.
+</blockquote><pre>
++ 2 onions, 1 carrot
+</pre><table><tr><td>
++ Time
+</td><td>
++ 40 minutes
+</td></tr></table></div><section id="comments"><h3>
+- 2 comments
+</h3><div class="comment"><p>
+- Made this yesterday and it was wonderful, thank you so much for sharing it with us all.
+</p></div><div class="comment"><p>
+- Too salty for me.
+</p></div><form action="/c"><label>
+- Your name
+</label><button>
+- Send
+</button></form></section></body>""",
+    """<body><header><h1>
+- Mountain Hut Association
+</h1><nav><ul><li><a href="/huts">
+- Huts
+</a></li><li><a href="/join">
+- Join us
+</a></li></ul></nav></header><div class="advert"><p>
+- Boots at half price, this week only!
+</p></div><article class="entry"><h1>
++ Opening of the upper hut is delayed
+</h1><p class="lead">
++ Snow on the pass was deeper than expected.
+</p><h2>
++ What to expect
+</h2><p>
++ The path is marked, but crampons are needed above the second lake until the end of the month.
+</p><div class="newsletter"><p>
+- Get our letter once a month.
+</p></div><p>
++ Bookings already made remain valid.
+</p></article><div class="sidebar"><h4>
+- Weather
+</h4><p>
+- Sunny, 4 degrees
+</p></div><footer>
+- &copy; Mountain Hut Association
+</footer></body>""",
+)
+
+
+def test_extraction_of_written_pages():
+    field, counts = H.trained_field(), collections.Counter()
+    for page in WRITTEN:
+        lines = page.split("\n")
+        blocks = H.leaf_blocks("".join(x[2:] if x[:2] in ("+ ", "- ") else x for x in lines))
+        truth = [(H.html.unescape(x[2:]), int(x[0] == "+")) for x in lines if x[:2] in ("+ ", "- ")]
+        assert [b[0] for b in blocks] == [t for t, _ in truth]
+        for (_, want), got in zip(truth, field.viterbi(H.block_features(blocks)), strict=True):
+            counts[want, got] += 1
+    assert counts[1, 1] / (counts[1, 1] + counts[0, 1]) >= 0.95  # precision
+    assert counts[1, 1] / (counts[1, 1] + counts[1, 0]) >= 0.95  # recall
+
+
 def test_viterbi_and_marginals_against_enumeration():
     import itertools
     import math
