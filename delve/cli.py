@@ -14,7 +14,7 @@ from delve.operators import render
 from delve.operators.index import Index, update_index
 from delve.operators.scope import Scope, parse_instant
 from delve.operators.search import list_files, search, search_stats
-from delve.sources.corpus import read_corpus
+from delve.sources.corpus import list_objects, read_objects
 from delve.streaming.watch import watch
 
 
@@ -70,8 +70,8 @@ def run(spark: SparkSession, argv: list[str], now: datetime | None = None) -> It
         strategy = None if args.strategy == "auto" else args.strategy
 
         def once(rebuild: bool) -> dict:
-            corpus = read_corpus(spark, root)
-            return update_index(spark, where, corpus.where(~corpus["key"].startswith(".delve/")), root, strategy, rebuild, args.purge_deleted)
+            listing = list_objects(spark, root, exclude=".delve/")
+            return update_index(spark, where, None, root, strategy, rebuild, args.purge_deleted, listing=listing, fetch=lambda wanted: read_objects(spark, root, wanted))
 
         if args.watch:
             yield from watch(once, args.interval, rebuild=args.rebuild, cycles=args.cycles)

@@ -239,9 +239,9 @@ def block_trigram_hex(data: Column, size: int = BLOCK) -> Column:
     return F.when(F.octet_length(data) >= 3, F.array_distinct(pairs)).otherwise(F.array().cast("array<struct<block:int,gram:string>>"))
 
 
-#: The prose test (sample size; shares of letters and blanks, of structural signs, of digits).
+#: The prose test (sample size; shares of letters and blanks, of structural signs, of digits; the signs).
 PROSE_MIN, PROSE_TEXT, PROSE_SIGNS, PROSE_DIGITS = 256, 0.85, 0.04, 0.03
-_SIGNS = r"[{}\[\]<>\"=:,;_|\\/]"
+_SIGNS = r"[{}\[\]\":,=<>();_/\\]"
 
 
 def prose_ratios(text: Column) -> dict[str, Column]:
@@ -261,17 +261,28 @@ def is_prose(text: Column) -> Column:
     return F.when(n["total"] >= PROSE_MIN, fits)
 
 
+def strided(docs: DataFrame, key: str, samples: int = 16) -> DataFrame:
+    """``samples`` rows or so, evenly strided over the order of the keys: a distributed sort, ranks from the partitions' counts."""
+    ordered = docs.orderBy(key).withColumn("at_", F.monotonically_increasing_id()).persist()
+    part = F.shiftrightunsigned("at_", 33)
+    counts = {r["p"]: r["n"] for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a partition
+    stride = max(1, sum(counts.values()) // samples)
+    base, chosen = 0, []
+    for p in sorted(counts):
+        chosen += [(p << 33) + at - base for at in range(-(-base // stride) * stride, base + counts[p], stride) if at < stride * samples]
+        base += counts[p]
+    out = ordered.where(F.col("at_").isin(chosen)).drop("at_")
+    rows = docs.sparkSession.createDataFrame(out.collect(), out.schema)  # ``samples`` rows
+    ordered.unpersist()
+    return rows
+
+
 def pick_strategy(docs: DataFrame, key: str, text: str, samples: int = 16) -> DataFrame:
     """One row (strategy, prose_bytes, sampled_bytes): sparse if two thirds of the sampled bytes are prose.
 
     The sample is evenly strided over the keys; only as many rows as ``samples`` leave the scan.
     """
-    total = max(1, docs.count())
-    stride = max(1, total // samples)
-    from pyspark.sql import Window
-
-    numbered = docs.select(key).withColumn("at", F.row_number().over(Window.orderBy(key)) - 1)
-    chosen = numbered.where((F.col("at") % stride == 0) & (F.col("at") < stride * samples)).select(key)
+    chosen = strided(docs.select(key), key, samples)
     sampled = docs.join(F.broadcast(chosen), key).select(F.substring(F.col(text), 1, 256 << 10).alias("t")).select(is_prose(F.col("t")).alias("prose"), F.octet_length("t").cast("long").alias("n"))
     sums = sampled.where("prose is not null").agg(F.coalesce(F.sum(F.when(F.col("prose"), F.col("n")).otherwise(0)), F.lit(0)).alias("prose_bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("sampled_bytes"))
     return sums.select(F.when((F.col("sampled_bytes") > 0) & (3 * F.col("prose_bytes") >= 2 * F.col("sampled_bytes")), "sparse").otherwise("trigram").alias("strategy"), "prose_bytes", "sampled_bytes")

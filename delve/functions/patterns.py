@@ -1,6 +1,6 @@
 """Patterns: composition, checking, and what the planner needs to know of them. Driver-side only.
 
-The dialect has no lookaround, no backreferences and no possessive quantifiers; ``^`` and ``$`` hold
+The dialect (see :mod:`.dialect`) has no lookaround, no backreferences and no possessive quantifiers; ``^`` and ``$`` hold
 at every line, and a pattern never matches a line feed. Spark runs the patterns in Java's engine line by
 line, with flags that make ``.``, ``$``, ``\\w`` and case behave so (``d``, ``U``, ``iu``).
 """
@@ -12,6 +12,10 @@ from dataclasses import dataclass
 from re import _constants as C  # the parse tree of the standard library's regular expressions
 from re import _parser as P
 
+import regex
+
+from .dialect import DialectError, translate
+
 _HALF = ("(?<!\\w)(?:", ")(?!\\w)")
 
 
@@ -19,9 +23,16 @@ class PatternError(ValueError):
     pass
 
 
-def _parse(raw: str, number: int, insensitive: bool = False) -> P.SubPattern:
+def _translated(raw: str, number: int) -> tuple[str, str, str]:
     try:
-        tree = P.parse(raw, re.MULTILINE | (re.IGNORECASE if insensitive else 0))
+        return translate(raw)
+    except DialectError as e:
+        raise PatternError(f'invalid pattern {number} "{raw}": {e}') from e
+
+
+def _parse(raw: str, form: str, number: int, insensitive: bool = False) -> P.SubPattern:
+    try:
+        tree = P.parse(form, re.MULTILINE | (re.IGNORECASE if insensitive else 0))
     except (re.error, OverflowError, RecursionError) as e:
         raise PatternError(f'invalid pattern {number} "{raw}": {e}') from e
     _check(tree, raw, number)
@@ -69,44 +80,6 @@ def smart_case_insensitive(trees: list[P.SubPattern]) -> bool:
     return bool(chars) and not any(c.isupper() for c in chars)
 
 
-def _no_captures(raw: str) -> str:
-    """Capturing groups as plain ones, so that split and extraction see whole matches only."""
-    out, at, inside = [], 0, False
-    while at < len(raw):
-        c = raw[at]
-        if c == "\\":
-            out.append(raw[at : at + 2])
-            at += 2
-            continue
-        if inside:
-            inside = c != "]"
-        elif c == "[":
-            inside = True
-            if raw[at + 1 : at + 2] == "]" or raw[at + 1 : at + 3] == "^]":  # a bracket that stands first is a member
-                end = raw.index("]", at + 1) + 1
-                out.append(raw[at:end].replace("]", "\\]"))
-                at = end
-                continue
-            out.append(c)
-            at += 1
-            continue
-        elif c == "(":
-            named = re.match(r"\(\?P?<[A-Za-z_]\w*>", raw[at:])
-            if named:
-                out.append("(?:")
-                at += named.end()
-                continue
-            if raw[at + 1 : at + 2] != "?":
-                out.append("(?:")
-                at += 1
-                continue
-        if inside and c in "[&":
-            out.append("\\")  # nested classes and intersections are Java's, not ours
-        out.append(c)
-        at += 1
-    return "".join(out)
-
-
 @dataclass(frozen=True)
 class Program:
     """Compiled patterns: one joint Java regex, one for each pattern, and the parse trees."""
@@ -117,6 +90,7 @@ class Program:
     java: str
     java_each: tuple[str, ...]
     python: str
+    word: bool = False
 
     @property
     def can_be_empty(self) -> bool:
@@ -155,37 +129,71 @@ def compile_patterns(patterns: list[str], fixed: bool = False, word: bool = Fals
     """Compose the patterns of a search. They match jointly: leftmost first, the earlier pattern on ties."""
     if not patterns:
         raise PatternError("no pattern")
-    raw = [escape(p) if fixed else p for p in patterns]
-    trees = [_parse(p, k) for k, p in enumerate(raw)]
+    forms = [_translated(escape(p) if fixed else p, k) for k, p in enumerate(patterns)]
+    trees = [_parse(p, f[2], k) for k, (p, f) in enumerate(zip(patterns, forms, strict=True))]
     insensitive = ignore_case or (smart_case and smart_case_insensitive(trees))
     if insensitive:
-        trees = [_parse(p, k, True) for k, p in enumerate(raw)]
-    plain = [_no_captures(p) for p in raw]
-    if word:
-        plain = [f"{_HALF[0]}{p}{_HALF[1]}" for p in plain]
+        trees = [_parse(p, f[2], k, True) for k, (p, f) in enumerate(zip(patterns, forms, strict=True))]
+    java, python = ([f"{_HALF[0]}{f[k]}{_HALF[1]}" if word else f[k] for f in forms] for k in (0, 1))
     flags = "(?dUiu)" if insensitive else "(?dU)"
-    joint = "|".join(f"(?:{p})" for p in plain)
-    python = ("(?im)" if insensitive else "(?m)") + joint.replace("\\z", "\\Z")
-    return Program(tuple(patterns), tuple(trees), insensitive, flags + joint, tuple(flags + p for p in plain), python)
+    joint = lambda parts: "|".join(f"(?:{p})" for p in parts)
+    return Program(tuple(patterns), tuple(trees), insensitive, flags + joint(java), tuple(flags + p for p in java), ("(?im)" if insensitive else "(?m)") + joint(python), word)
+
 
+#: Letters with a longer case partner, and what the longest takes in UTF-8.
+_LONGER = {"k": 3, "s": 2, "i": 2}
 
-def max_length(tree: P.SubPattern) -> int | None:
-    """Longest match in bytes, where it is bounded and above 0 (a code point has at most 4 bytes)."""
-    width = tree.getwidth()[1]
-    return None if width > 1 << 20 or width == 0 else 4 * int(width)
 
+def _has_look(tree: P.SubPattern) -> bool:
+    return any(op is C.AT or any(map(_has_look, _children(op, arg))) for op, arg in tree)
 
-def search_extent(tree: P.SubPattern) -> tuple[str, int | None]:
-    """What a match needs of its document: ("bytes", n), ("lines", None) or ("document", None)."""
-    if _has_text_anchor(tree):
-        return "document", None
-    bound = max_length(tree)
-    return ("bytes", bound) if bound else ("lines", None)
+
+def _longest(tree: P.SubPattern, insensitive: bool) -> int | None:
+    """Most bytes that a match of the tree can have, none if there is no bound."""
+    total = 0
+    for op, arg in tree:
+        if op is C.LITERAL:
+            c = chr(arg)
+            size = max(len(x.encode("utf-8", "surrogatepass")) for x in ({c, c.lower(), c.upper(), c.swapcase()} if insensitive else {c}))
+            size = max(size, _LONGER.get(c.lower(), 1)) if insensitive else size
+        elif op is C.IN:
+            negated = any(kind is C.NEGATE for kind, _ in arg)
+            tops = [4 if negated or kind is C.CATEGORY else len(chr(value[1] if kind is C.RANGE else value).encode("utf-8", "surrogatepass")) for kind, value in arg if kind is not C.NEGATE]
+            size = 4 if insensitive and max(tops) > 1 else 3 if insensitive else max(tops)
+        elif op in (C.ANY, C.NOT_LITERAL, C.CATEGORY):
+            size = 4
+        elif op is C.SUBPATTERN:
+            size = _longest(arg[3], (insensitive or bool(arg[1] & re.IGNORECASE)) and not arg[2] & re.IGNORECASE)
+        elif op is C.BRANCH:
+            sizes = [_longest(t, insensitive) for t in arg[1]]
+            size = None if None in sizes else max(sizes)
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            once = _longest(arg[2], insensitive)
+            size = 0 if once == 0 else None if once is None or arg[1] is C.MAXREPEAT else once * int(arg[1])
+        else:
+            size = None
+        if size is None or (total := total + size) > 1 << 30:
+            return None
+    return total
+
+
+def max_length(tree: P.SubPattern, insensitive: bool = False) -> int | None:
+    """Longest match in bytes, where the pattern looks at nothing around it and the length is bounded and above 0."""
+    return None if _has_look(tree) else _longest(tree, insensitive) or None
+
+
+def search_extent(tree: P.SubPattern, insensitive: bool = False) -> tuple[str, int | None]:
+    """What a match needs of its document: ("bytes", n), ("lines", None) or ("document", None).
+
+    Matches never hold a line feed, so only an anchor of the whole text needs the document.
+    """
+    bound = max_length(tree, insensitive)
+    return ("bytes", bound) if bound else ("document" if _has_text_anchor(tree) else "lines", None)
 
 
 def plan_kinds(program: Program) -> dict[str, int]:
     """How many patterns have an exact bound, and how many fall back to lines or whole documents."""
-    kinds = [search_extent(t)[0] for t in program.trees]
+    kinds = ["lines" if program.word and not _has_text_anchor(t) else search_extent(t, program.insensitive)[0] for t in program.trees]
     return {"exact": kinds.count("bytes"), "lines": kinds.count("lines"), "documents": kinds.count("document")}
 
 
@@ -193,13 +201,13 @@ def find_iter(program: Program, text: bytes) -> list[tuple[int, int]]:
     return find_spans(program.python, text)
 
 
-def find_spans(regex: str, text: bytes) -> list[tuple[int, int]]:
+def find_spans(pattern: str, text: bytes) -> list[tuple[int, int]]:
     """Byte ranges of all matches. An empty match that touches the match before it is skipped."""
     decoded = text.decode("utf-8", "surrogateescape")
     out: list[tuple[int, int]] = []
     last_char = last_byte = 0
     end_before = -1
-    for m in re.finditer(regex, decoded):
+    for m in regex.finditer(pattern, decoded):
         if m.start() == m.end() and m.start() == end_before:
             continue
         end_before = m.end()

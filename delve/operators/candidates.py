@@ -13,12 +13,29 @@ from delve.plans.gramplan import Query
 PLACE = ("doc_id", "block")
 
 
+def any_of(column: Column, values: list, most: int = 10) -> Column:
+    """``isin`` in parts that file statistics can prune by; Spark turns longer lists into one range."""
+    parts = [column.isin(values[k : k + most]) for k in range(0, len(values), most)]
+    return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
+
+
+def most_places(query: Query, counts: dict[bytes, int], space: int) -> int:
+    """The most places that a query can admit, from the counts of its grams."""
+    if query.kind == "gram":
+        return counts.get(query.gram, 0)
+    if query.kind == "and":
+        return min(most_places(p, counts, space) for p in query.parts)
+    if query.kind == "or":
+        return min(space, sum(most_places(p, counts, space) for p in query.parts))
+    return space if query.kind == "all" else 0
+
+
 def gram_counts(postings: DataFrame, grams: set[bytes]) -> dict[bytes, int]:
     """How many places each gram of a query has; as many rows as the query has grams."""
     codes = {pack(g): g for g in grams}
     if not codes:
         return {}
-    rows = postings.where(F.col("gram").isin(list(codes))).groupBy("gram").agg(F.count("*").alias("n")).collect()
+    rows = postings.where(any_of(F.col("gram"), sorted(codes))).groupBy("gram").agg(F.count("*").alias("n")).collect()
     return {codes[r["gram"]]: r["n"] for r in rows}
 
 
@@ -51,7 +68,7 @@ def candidate_blocks(postings: DataFrame, places: DataFrame, queries: list[Query
 
 def _found(postings: DataFrame, queries: list[tuple[int, Query]]) -> DataFrame:
     codes = sorted({pack(g) for _, q in queries for g in q.grams()})
-    sets = postings.where(F.col("gram").isin(codes) if codes else F.lit(False)).groupBy(*PLACE).agg(F.collect_set("gram").alias("grams"))
+    sets = postings.where(any_of(F.col("gram"), codes)).groupBy(*PLACE).agg(F.collect_set("gram").alias("grams"))
     which = F.array_compact(F.array(*(F.when(holds(q, F.col("grams")), F.lit(k)) for k, q in queries))) if queries else F.array().cast("array<int>")
     return sets.select(*PLACE, which.alias("patterns")).where(F.size("patterns") > 0)
 

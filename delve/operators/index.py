@@ -1,33 +1,42 @@
 """The index: immutable segments of Parquet tables under a generation manifest.
 
 ``seg-<id>/`` holds sources, docs, content and postings; ``dead-<id>/`` the sources of older segments that
-a generation dropped. ``gen-<n>.json`` names the live segments; the highest is the root. A writer
+a generation dropped. Content lies in folders of neighbouring keys (``bucket=<n>``), each of about BUCKET_BYTES;
+docs name the bucket of a document, so a search opens the folders of its candidates only. ``gen-<n>.json`` names the live segments; the highest is the root. A writer
 publishes by creating the next one exclusively, so of two writers one fails and deletes nothing.
 Document ids hash the key and version: segments merge without renumbering.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from delve.functions.grams import block_grams, pick_strategy
+from delve.functions.grams import block_grams, pick_strategy, strided
 from delve.sources.corpus import decode_corpus
 from delve.sources.decode import Limits
 
 #: Share of dead documents or bytes that repacks a segment, segments before merging, and caps of a merge.
 REPACK, MAX_SEGMENTS, MERGE_DOCS, MERGE_BYTES = 0.25, 8, 4_000_000, 256 << 20
-FORMAT = 1
+FORMAT = 2
+#: Bytes of a content folder, and how many a segment has at most.
+BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 4_096
 
 
 class IndexConflict(RuntimeError):
     """Another writer published first."""
 
 
+class IndexChanged(RuntimeError):
+    """A newer generation was published while results of this one were on their way."""
+
+
 class IndexMismatch(RuntimeError):
     """The index belongs to another source, or has another format."""
 
@@ -136,8 +145,9 @@ class Index:
         return load_manifest(self.store).generation != self.manifest.generation
 
     def _read(self, table: str, segments: list[dict]) -> DataFrame | None:
-        paths = [f"{self.store.root}/seg-{s['id']}/{table}" for s in segments]
-        return self.spark.read.parquet(*paths) if paths else None
+        names = ", ".join(SCHEMAS[table].split(", "))
+        parts = [self.spark.read.schema(names).parquet(f"{self.store.root}/seg-{s['id']}/{table}") for s in segments]
+        return functools.reduce(DataFrame.unionAll, parts) if parts else None
 
     def dead(self) -> DataFrame:
         paths = [f"{self.store.root}/dead-{d}" for d in self.manifest.dead]
@@ -151,11 +161,18 @@ class Index:
         df = self._read(table, chosen)
         if df is None:
             df = self.spark.createDataFrame([], SCHEMAS[table])
+        if table == "postings":  # of dead documents too: readers join candidates with docs
+            return df
         return df.join(F.broadcast(self.dead()) if self._few_dead() else self.dead(), ["seg", "source_key"], "left_anti") if self.manifest.dead else df
 
     def _few_dead(self) -> bool:
         return sum(s.get("dead", 0) for s in self.manifest.segments) <= 100_000
 
+    def check(self) -> None:
+        """Raise if another generation has been published: results read so far may be of two."""
+        if self.changed():
+            raise IndexChanged(f"generation {self.manifest.generation} is no longer the newest")
+
     def excluded(self) -> int:
         """Live objects that could not be decoded."""
         return self.table("sources").where("failed").count()
@@ -163,9 +180,9 @@ class Index:
 
 SCHEMAS = {
     "sources": "seg string, source_key string, version string, encoded_size long, encoding string, doc_count long, failed boolean, retry boolean",
-    "docs": "seg string, source_key string, doc_id long, display_key string, member_path string, decoded_size long, max_line_len long, blocks int, block_newlines array<int>",
-    "content": "seg string, source_key string, doc_id long, key string, block int, first_line long, start long, bytes binary",
-    "postings": "seg string, source_key string, gram long, doc_id long, block int",
+    "docs": "seg string, source_key string, doc_id long, display_key string, member_path string, decoded_size long, max_line_len long, blocks int, block_newlines array<int>, bucket int",
+    "content": "seg string, source_key string, doc_id long, key string, block int, first_line long, start long, bytes binary, bucket int",
+    "postings": "gram long, doc_id long, block int",
 }
 
 
@@ -179,6 +196,21 @@ def load_manifest(store: _Store) -> Manifest:
     return manifest
 
 
+def _write_content(content: DataFrame, base: str) -> None:
+    """Content by ranges of keys, each range a folder of its own, sorted."""
+    weight = content.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    buckets = max(1, min(MAX_BUCKETS, -(-weight // BUCKET_BYTES)))
+    dealt = content.repartitionByRange(buckets, "key").withColumn("bucket", F.spark_partition_id()).sortWithinPartitions("bucket", "key", "block")
+    dealt.write.partitionBy("bucket").parquet(f"{base}/content")
+
+
+def _write_docs(docs: DataFrame, base: str) -> None:
+    """``docs`` with the buckets that their content went to."""
+    spark = docs.sparkSession
+    places = spark.read.schema(SCHEMAS["content"]).parquet(f"{base}/content").groupBy("doc_id").agg(F.max("bucket").alias("bucket"))
+    docs.join(places, "doc_id").select(*(c.split(" ")[0] for c in SCHEMAS["docs"].split(", "))).repartitionByRange("display_key").sortWithinPartitions("display_key").write.parquet(f"{base}/docs")
+
+
 def _write_segment(spark: SparkSession, store: _Store, corpus: DataFrame, strategy: str, vanished: DataFrame | None, limits: Limits | None) -> dict | None:
     seg = uuid.uuid4().hex
     base = f"{store.root}/seg-{seg}"
@@ -188,23 +220,46 @@ def _write_segment(spark: SparkSession, store: _Store, corpus: DataFrame, strate
     rows.write.parquet(staged)
     rows = spark.read.parquet(staged)
     content = rows.where("display_key is not null").select("seg", "source_key", "doc_id", F.col("display_key").alias("key"), "block", "first_line", "start", "bytes")
-    content.repartitionByRange("key").sortWithinPartitions("key", "block").write.parquet(f"{base}/content")
+    _write_content(content, base)
     docs = rows.where("display_key is not null").groupBy("seg", "source_key", "doc_id", "display_key", "member_path").agg(
         F.max("decoded_size").alias("decoded_size"), F.max("max_line_len").alias("max_line_len"), F.count("*").cast("int").alias("blocks"),
         F.transform(F.array_sort(F.collect_list(F.struct("block", "newlines"))), lambda x: x["newlines"]).alias("block_newlines"),
     )
-    docs.repartitionByRange("display_key").sortWithinPartitions("display_key").write.parquet(f"{base}/docs")
+    _write_docs(docs, base)
     sources = rows.groupBy("seg", "source_key", "version", "encoded_size").agg(F.max("encoding").alias("encoding"), F.countDistinct("display_key").alias("doc_count"), F.max("failed").alias("failed"), F.lit(False).alias("retry"))
     if vanished is not None:
         gone = vanished.select(F.lit(seg).alias("seg"), F.col("key").alias("source_key"), F.col("version"), F.lit(0).cast("long").alias("encoded_size"), F.lit(None).cast("string").alias("encoding"), F.lit(0).cast("long").alias("doc_count"), F.lit(False).alias("failed"), F.lit(True).alias("retry"))
         sources = sources.unionByName(gone)
     sources.repartitionByRange("source_key").write.parquet(f"{base}/sources")
-    grams = block_grams(content, strategy, carry=("seg", "source_key")).select("seg", "source_key", "gram", "doc_id", "block")
+    grams = block_grams(content, strategy).select("gram", "doc_id", "block")
     grams.repartitionByRange("gram").sortWithinPartitions("gram", "doc_id", "block").write.parquet(f"{base}/postings")
     store.delete(f"tmp-{seg}")
     return _describe(spark, store, seg)
 
 
+def _write_bounded(spark: SparkSession, store: _Store, corpus: DataFrame, strategy: str, vanished: DataFrame | None, limits: Limits | None, doc_cap: int) -> Iterator[dict]:
+    """Segments of at most ``doc_cap`` documents: one that has more is halved by ranges of keys, and again. One object over the cap is refused."""
+    made = _write_segment(spark, store, corpus, strategy, vanished, limits)
+    if not made or made["docs"] <= doc_cap:
+        if made:
+            yield made
+        return
+    sources = spark.read.schema(SCHEMAS["sources"]).parquet(f"{store.root}/seg-{made['id']}/sources").where("doc_count > 0")
+    parts = -(-made["docs"] // doc_cap)
+    if (sources.agg(F.max("doc_count")).first()[0] or 0) > doc_cap:
+        store.delete(f"seg-{made['id']}")
+        raise ValueError(f"one object has more than {doc_cap} documents")
+    dealt = sources.select("source_key", "doc_count").repartitionByRange(max(2, parts), "source_key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("source_key").alias("low"), F.max("source_key").alias("high"))
+    cuts = [r["low"] for r in dealt.orderBy("low").collect()]  # a row a segment
+    if len(cuts) < 2:  # the ranges came out as one: halve by the first and the other keys
+        low = cuts[0]
+        cuts = [low, sources.where(F.col("source_key") > low).agg(F.min("source_key")).first()[0]]
+    store.delete(f"seg-{made['id']}")
+    for k, low in enumerate(cuts):
+        inside = (F.col("key") >= low if k else F.lit(True)) & (F.col("key") < cuts[k + 1] if k + 1 < len(cuts) else F.lit(True))
+        yield from _write_bounded(spark, store, corpus.where(inside), strategy, None if vanished is None else vanished.where(inside), limits, doc_cap)
+
+
 def _describe(spark: SparkSession, store: _Store, seg: str) -> dict | None:
     base = f"{store.root}/seg-{seg}"
     s = spark.read.parquet(f"{base}/sources").agg(F.count("*"), F.sum(F.col("failed").cast("long")), F.min("source_key"), F.max("source_key")).first()
@@ -218,22 +273,30 @@ def _describe(spark: SparkSession, store: _Store, seg: str) -> dict | None:
 def _rewrite(index: Index, segments: list[dict]) -> dict | None:
     """Merge the live rows of segments into a new one."""
     seg = uuid.uuid4().hex
-    order = {"sources": ["source_key"], "docs": ["display_key"], "content": ["key", "block"], "postings": ["gram", "doc_id", "block"]}
-    for table in Index.TABLES:
-        live = index.table(table, segments=segments).withColumn("seg", F.lit(seg)).select(*(c.split(" ")[0] for c in SCHEMAS[table].split(", ")))
-        live.repartitionByRange(order[table][0]).sortWithinPartitions(*order[table]).write.parquet(f"{index.store.root}/seg-{seg}/{table}")
+    base = f"{index.store.root}/seg-{seg}"
+    live = lambda table: index.table(table, segments=segments).withColumn("seg", F.lit(seg))
+    _write_content(live("content").drop("bucket"), base)
+    docs = live("docs").drop("bucket")
+    _write_docs(docs, base)
+    live("sources").repartitionByRange("source_key").sortWithinPartitions("source_key").write.parquet(f"{base}/sources")
+    postings = index.table("postings", segments=segments).join(docs.select("doc_id"), "doc_id", "left_semi").distinct().select("gram", "doc_id", "block")
+    postings.repartitionByRange("gram").sortWithinPartitions("gram", "doc_id", "block").write.parquet(f"{base}/postings")
     return _describe(index.spark, index.store, seg)
 
 
 def update_index(
-    spark: SparkSession, root: str, corpus: DataFrame, source: str = "", strategy: str | None = None, rebuild: bool = False, purge: bool = False,
-    listing: DataFrame | None = None, limits: Limits | None = None, max_segments: int = MAX_SEGMENTS,
+    spark: SparkSession, root: str, corpus: DataFrame | None, source: str = "", strategy: str | None = None, rebuild: bool = False, purge: bool = False,
+    listing: DataFrame | None = None, limits: Limits | None = None, max_segments: int = MAX_SEGMENTS, fetch: Callable[[DataFrame], DataFrame] | None = None,
+    doc_cap: int = MERGE_DOCS, progress: Callable[[dict], None] | None = None,
 ) -> dict:
     """Bring the index in line with a corpus; returns (added, removed, total_docs, segments, compacted, ...).
 
     ``listing`` (key, version) defaults to the corpus; listed objects that the corpus lacks are noted and
-    tried again by the next update. Without changes nothing is written.
+    tried again by the next update. Without changes nothing is written. With a listing and ``fetch``, which gives the
+    corpus of the keys it is asked for, only new and changed objects are read; ``corpus`` is not needed then.
+    A segment has at most ``doc_cap`` documents: a larger addition becomes several. ``progress`` is told of each step.
     """
+    tell = progress or (lambda event: None)
     store = _Store(spark, root)
     old = load_manifest(store)
     if old.generation and old.source != source and not rebuild:
@@ -249,26 +312,35 @@ def update_index(
     live = index.table("sources").select(F.col("source_key").alias("key"), "version", "retry", "seg", "doc_count")
     changes = diff_listing(listing, live)
     changes.persist()
+    written: list[str] = []
+    published = False
     try:
         counts = {r["action"]: r["n"] for r in changes.groupBy("action").agg(F.count("*").alias("n")).collect()}
         if not counts and not fresh and not purge:
             return {"added": 0, "removed": 0, "total_docs": index.table("docs").count(), "segments": len(current.segments), "compacted": False, "up_to_date": True, "generation": current.generation}
         if fresh:
-            strategy = strategy or pick_strategy(corpus.select("key", F.col("content").cast("string").alias("text")), "key", "text").first()["strategy"]
+            if not strategy:
+                sampled = corpus if fetch is None else fetch(strided(listing, "key"))
+                strategy = pick_strategy(sampled.select("key", F.col("content").cast("string").alias("text")), "key", "text").first()["strategy"]
         else:
             strategy = current.strategy
         new = Manifest(old.generation + 1, source, strategy, list(current.segments), list(current.dead))
         dead = live.join(changes.where("action <> 'add'"), "key").select("seg", F.col("key").alias("source_key"))
         if counts.get("replace", 0) + counts.get("remove", 0):
             name = uuid.uuid4().hex
+            written.append(f"dead-{name}")
             dead.write.parquet(f"{store.root}/dead-{name}")
             new.dead.append(name)
         add = changes.where("action <> 'remove'").select("key")
         if counts.get("add", 0) + counts.get("replace", 0):
-            gone = listing.join(add, "key", "left_semi").join(corpus.select("key"), "key", "left_anti")
-            made = _write_segment(spark, store, corpus.join(add, "key", "left_semi"), strategy, gone, limits)
-            if made:
+            wanted = listing.join(add, "key", "left_semi")
+            tell({"event": "listed", "objects": counts.get("add", 0) + counts.get("replace", 0), "removed": counts.get("remove", 0)})
+            rows = corpus.join(add, "key", "left_semi") if fetch is None else fetch(wanted)
+            gone = wanted.join(rows.select("key"), "key", "left_anti")
+            for made in _write_bounded(spark, store, rows, strategy, gone, limits, doc_cap):
                 new.segments.append(made)
+                written.append(f"seg-{made['id']}")
+                tell({"event": "segment", "documents": made["docs"], "bytes": made["bytes"]})
         index.manifest = new
         compacted = False
         if new.dead:
@@ -282,6 +354,7 @@ def update_index(
                 lost, lost_bytes = s["docs"] - (have["docs"] if have else 0), s["bytes"] - (have["bytes"] if have else 0)
                 if (purge and lost) or (s["docs"] and lost >= REPACK * s["docs"]) or (s["bytes"] and lost_bytes >= REPACK * s["bytes"]):
                     s = _rewrite(index, [s])
+                    written += [f"seg-{s['id']}"] if s else []
                     compacted = True
                 else:
                     s = {**s, "dead": lost}
@@ -291,12 +364,15 @@ def update_index(
         if pair := pick_merge(new.segments, max_segments):
             index.manifest = new
             merged = _rewrite(index, [new.segments[k] for k in pair])
+            written += [f"seg-{merged['id']}"] if merged else []
             new.segments[pair[0] : pair[1] + 1] = [merged] if merged else []
             compacted = True
         if new.dead and not any(s.get("dead") for s in new.segments):  # no segment holds a dead source any more
             new.dead = []
         if not store.create(f"gen-{new.generation:09d}.json", json.dumps(new.__dict__)):
             raise IndexConflict("another writer published this generation first")
+        published = True
+        tell({"event": "published", "generation": new.generation, "segments": len(new.segments)})
         for name in store.names():  # what the last generation had and this one has not
             if (name in old.dirs() and name not in new.dirs()) or (name.startswith("gen-") and int(name[4:-5]) < new.generation - 1):
                 store.delete(name)
@@ -304,3 +380,6 @@ def update_index(
         return {"added": counts.get("add", 0) + counts.get("replace", 0), "removed": counts.get("remove", 0) + counts.get("replace", 0), "total_docs": index.table("docs").count(), "segments": len(new.segments), "compacted": compacted, "up_to_date": False, "generation": new.generation}
     finally:
         changes.unpersist()
+        if not published:  # a loser, or a failure: nothing of it is named by any generation
+            for name in written:
+                store.delete(name)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from delve.functions.patterns import Program, plan_kinds
 from delve.plans.gramplan import plan, simplify
 
-from .candidates import candidate_blocks, gram_counts
+from .candidates import any_of, candidate_blocks, gram_counts, most_places
 from .index import Index
 from .lines import document_hits, match_windows, submatches, with_context
 from .scope import Scope, candidate_prefix
@@ -18,11 +18,16 @@ from .scope import Scope, candidate_prefix
 KEEP = ("key",)
 
 
+#: Candidates that the driver takes, so that only their folders are opened; and bytes of a broadcast table of candidates.
+FEW, BROADCAST_BYTES, PLACE_BYTES = 20_000, 32 << 20, 32
+
+
 @dataclass
 class Candidates:
-    """Blocks (key, doc_id, block, first_line, start, bytes) that may match, and how the plan got there."""
+    """Blocks (key, doc_id, block, first_line, start, bytes) to verify, the places (doc_id, block) the plan admits, and how it got there."""
 
     blocks: DataFrame
+    places: DataFrame
     queries: list
     empty: bool
 
@@ -30,6 +35,10 @@ class Candidates:
 def candidates(index: Index, program: Program, scope: Scope, whole_documents: bool = False) -> Candidates:
     """Blocks that the gram queries admit. A query on an absent gram reads no content at all.
 
+    The counts of the grams bound the number of candidates beforehand. FEW of them go through the driver, and
+    only the content folders that hold them are opened. More are broadcast, if their bound fits BROADCAST_BYTES. If
+    not, the grams hardly narrow the search, and all content is verified: the regular expression decides in any case.
+
     Blocks end at line ends and no match crosses a line, so each block is judged by itself; with
     ``whole_documents`` all blocks of a document with a candidate come along.
     """
@@ -41,13 +50,26 @@ def candidates(index: Index, program: Program, scope: Scope, whole_documents: bo
     space = max(1, sum(s["blocks"] for s in index.manifest.segments))  # dead ones too: a gram that is in all live blocks is just not dropped
     queries = [simplify(q, counts, space, 64 if index.manifest.strategy == "trigram" else 8) for q in queries]
     content = index.table("content", prefix).where(scope.admits(F.col("key")))
+    docs = index.table("docs", prefix).where(scope.admits(F.col("display_key")))
+    every = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     if all(q.kind == "none" for q in queries):
-        return Candidates(content.limit(0), queries, True)
-    if all(q.kind == "all" for q in queries):
-        return Candidates(content, queries, False)
-    chosen = candidate_blocks(postings, content.select("doc_id", "block"), queries).select("doc_id", "block")
+        return Candidates(content.limit(0), every.limit(0), queries, True)
+    if any(q.kind == "all" for q in queries):
+        return Candidates(content, every, queries, False)
+    found = candidate_blocks(postings, every, queries).select("doc_id", "block")
+    places = found.join(docs.select("doc_id", "display_key", "bucket").distinct(), "doc_id")
     on = ["doc_id"] if whole_documents else ["doc_id", "block"]
-    return Candidates(content.join(chosen.select(*on).distinct(), on, "left_semi"), queries, False)
+    most = sum(most_places(q, counts, space) for q in queries)
+    if most <= FEW:
+        rows = places.collect()
+        buckets, keys = sorted({r["bucket"] for r in rows}), sorted({r["display_key"] for r in rows})
+        chosen = index.spark.createDataFrame([(r["doc_id"], r["block"]) for r in rows], "doc_id long, block int")
+        near = content.where(any_of(F.col("bucket"), buckets))
+        near = near.where(any_of(F.col("key"), keys)) if len(keys) <= 100 else near
+        return Candidates(near.join(F.broadcast(chosen.select(*on).distinct()), on, "left_semi"), chosen, queries, not rows)
+    if most * PLACE_BYTES <= BROADCAST_BYTES:
+        return Candidates(content.join(F.broadcast(found.select(*on).distinct()), on, "left_semi"), places.select("doc_id", "block"), queries, False)
+    return Candidates(content, places.select("doc_id", "block"), queries, False)
 
 
 def block_lines(blocks: DataFrame) -> DataFrame:
@@ -110,6 +132,7 @@ def search_stats(index: Index, program: Program, scope: Scope | None = None) ->
     """Candidates, live documents, hits, bytes read for verification, and how the patterns were planned."""
     scope = scope or Scope()
     found = candidates(index, program, scope)
-    n = found.blocks.agg(F.countDistinct("key"), F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()
+    held = index.table("content").join(found.places.distinct(), ["doc_id", "block"], "left_semi")
+    n = held.agg(F.countDistinct("key"), F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()
     hits = search(index, program, scope, "documents").count()
     return {"candidates": n[0], "total": index.table("docs").count(), "hits": hits, "bytes": n[1], "excluded": index.excluded(), **plan_kinds(program)}

@@ -245,7 +245,7 @@ def idx03(spark, sf):
 
 
 _PROSE = r"""SELECT doc_id, n, sum_text, sum_signs, sum_digits FROM (SELECT doc_id, strlen(t)::BIGINT AS n,
- (strlen(t) - strlen(regexp_replace(t, '[A-Za-z \t\r\n]', '', 'g')))::BIGINT AS sum_text, (strlen(t) - strlen(regexp_replace(t, '[{}\[\]<>"=:,;_|\\/]', '', 'g')))::BIGINT AS sum_signs,
+ (strlen(t) - strlen(regexp_replace(t, '[A-Za-z \t\r\n]', '', 'g')))::BIGINT AS sum_text, (strlen(t) - strlen(regexp_replace(t, '[{}\[\]":,=<>();_/\\]', '', 'g')))::BIGINT AS sum_signs,
  (strlen(t) - strlen(regexp_replace(t, '[0-9]', '', 'g')))::BIGINT AS sum_digits FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
 
 

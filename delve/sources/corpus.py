@@ -51,6 +51,31 @@ def read_corpus(spark: SparkSession, root: str, listing: DataFrame | None = None
     return rows.select("key", F.sha2("content", 256).alias("version"), "encoded_size", "content")
 
 
+#: Objects that are read by name; more of them by a scan of the folder and a join.
+NAMED = 5_000
+
+
+def read_objects(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """(key, version, encoded_size, content) of the listed objects (key, version) that are still there, under their listed versions.
+
+    Up to NAMED objects are opened by name, so an update reads what has changed and nothing else.
+    """
+    root = root.rstrip("/")
+    rows = wanted.select("key", "version").limit(NAMED + 1).collect()
+    files = spark.read.format("binaryFile")
+    if rows and len(rows) <= NAMED:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        paths = [jvm.org.apache.hadoop.fs.Path(f"{root}/{r['key']}") for r in rows]
+        there = [p.toString() for p in paths if p.getFileSystem(conf).exists(p)]
+        if not there:
+            return spark.createDataFrame([], "key string, version string, encoded_size long, content binary")
+        read = files.load(there)
+        wanted = F.broadcast(spark.createDataFrame(rows, "key string, version string"))
+    else:
+        read = files.option("recursiveFileLookup", "true").load(root)
+    return read.select(relative_key(F.col("path"), root).alias("key"), F.col("length").alias("encoded_size"), "content").join(wanted, "key").select("key", "version", "encoded_size", "content")
+
+
 def memory_corpus(spark: SparkSession, objects: dict[str, bytes]) -> DataFrame:
     rows = [(k, bytearray(v)) for k, v in objects.items()]
     df = spark.createDataFrame(rows, "key string, content binary")

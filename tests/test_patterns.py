@@ -1,10 +1,11 @@
 import re
 
 import pytest
+import regex
 
 import __spark_entry__ as entry
 from delve.functions.grams import covering_grams, pack, sparse_grams, trigrams_of
-from delve.functions.patterns import PatternError, compile_patterns, find_iter, search_extent
+from delve.functions.patterns import PatternError, compile_patterns, find_iter, plan_kinds, search_extent
 from delve.plans.gramplan import ALL, NONE, plan, simplify
 
 
@@ -36,9 +37,34 @@ def test_smart_case():
 
 def test_extents():
     tree = lambda p: compile_patterns([p]).trees[0]
-    assert search_extent(tree("abc")) == ("bytes", 12)
+    assert search_extent(tree("abc")) == ("bytes", 3)
     assert search_extent(tree("a.*")) == ("lines", None)
     assert search_extent(tree(r"\Aab")) == ("document", None)
+    assert search_extent(tree(r"^ab")) == search_extent(tree(r"\bab")) == ("lines", None)
+    assert [search_extent(tree(p))[1] for p in ("é{2}|x", r"\p{L}b", "[a-z]?", "a.", "(?i)ok", "[[:alpha:]]{3}")] == [4, 5, 1, 5, 4, 3]
+    assert compile_patterns(["abc"], word=True).word and plan_kinds(compile_patterns(["abc"], word=True))["lines"] == 1
+
+
+def test_dialect():
+    hit = lambda p, t, **f: bool(regex.search(compile_patterns([p], **f).python, t))
+    assert hit(r"^\p{L}+$", "éa") and not hit(r"^\pL+$", "a1") and hit(r"\P{L}", "1") and hit(r"\p{Lowercase_Letter}", "a")
+    assert hit(r"^\x{41}\u{e9}\x41$", "AéA") and hit(r"[[:digit:]]+", "12") and not hit("[[:digit:]]", "٣:]") and hit("[[:^alpha:]]", "٣")
+    assert hit("a(?i)b|c", "C") and not hit("a(?i)b|c", "AB") and hit("((?i)a)b", "Ab") and not hit("((?i)a)b", "aB") and not hit("(?-i:A)b", "aB", ignore_case=True)
+    assert hit("(?x) a b # note", "ab") and hit(r"\b{start}ab\b{end-half}", "x ab.") and not hit(r"\<ab", "xab") and hit(r"]a}", "]a}") and hit("(?P<n>a)(?<m>b)", "ab")
+    assert not hit("(?-m)^b", "a\nb") and hit("^b", "a\nb")
+
+
+@pytest.mark.parametrize("bad", ["[a&&b]", "[a[b]]", "[a--b]", "(?U)a", "(?R)a", "(?-u)a", r"\Qa", r"\p{Nope}", "[[:foo:]]", r"\x{110000}", r"\b{middle}", "[a", "a)", "\\", r"\p{L"])
+def test_what_engines_read_differently_is_refused(bad):
+    with pytest.raises(PatternError, match="invalid pattern 0"):
+        compile_patterns([bad])
+
+
+def test_plans_know_the_flags_of_groups():
+    assert plan(compile_patterns(["(?i)urge"]))[0].grams() >= {b"urg", b"URG", b"Urg"} and plan(compile_patterns(["(?i)urge"]))[0].kind == "and"
+    assert plan(compile_patterns(["abc(?i:urg)xyz"]))[0].grams() >= {b"abc", b"xyz", b"uRg"}
+    assert plan(compile_patterns(["(?-i:abc)"], ignore_case=True))[0].grams() == {b"abc"}
+    assert plan(compile_patterns(["(?i)licensed"], ), "sparse")[0] == ALL
 
 
 def test_plans_are_necessary_conditions():

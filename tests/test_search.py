@@ -6,11 +6,12 @@ import re
 from datetime import datetime, timezone
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from delve import cli
 from delve.functions.patterns import compile_patterns, find_iter
-from delve.operators.index import Index, IndexConflict, IndexMismatch, load_manifest, pick_merge, update_index
+from delve.operators.index import Index, IndexChanged, IndexConflict, IndexMismatch, load_manifest, pick_merge, update_index
 from delve.operators.lines import with_context
 from delve.operators.render import exit_code, json_lines, standard_lines
 from delve.operators.scope import Scope, glob_regex, globs_admit, key_time_range, parse_instant
@@ -29,7 +30,7 @@ OBJECTS = {
     "z/log.gz": gzip.compress(b"zipped world\n" + b"x" * 300 + b"\nend\n"),
     "bad.gz": b"\x1f\x8b\x08broken",
 }
-PATTERNS = ["world", ".*", "ab", r"\w+@\w+", "quick.*fox", "(hello|again) w", "o{2,}", "(?:wor)?ld", "ABSENT", "^the", "last$", "fox$|^jumps", "WORLD", r"\Athe", r"fox\Z|end$"]
+PATTERNS = ["world", ".*", "ab", r"\w+@\w+", "quick.*fox", "(hello|again) w", "o{2,}", "(?:wor)?ld", "ABSENT", "^the", "last$", "fox$|^jumps", "WORLD", r"\Athe", r"fox\Z|end$", "(?i)WORLD", "(?i:hello) (?-i:World|world)", "a(?i)GAIN|JUMPS", r"\p{L}+\s\p{Ll}{5}$", "[[:alpha:]]+ [[:alpha:]]+$", r"\x{77}orld", "(?i)kick|quick", r"\<over", "[[:^lower:]]world"]
 
 
 def scan(objects, pattern, **flags):
@@ -41,7 +42,7 @@ def scan(objects, pattern, **flags):
         if lines[-1] == b"":
             lines.pop()
         for k, line in enumerate(lines, 1):
-            if re.search(program.python, line.decode()):
+            if regex.search(program.python, line.decode()):
                 out.add((key, k, line.decode(), tuple(find_iter(program, line))))
     return out
 
@@ -119,6 +120,89 @@ def test_life_of_an_index(spark, tmp_path):
     assert IndexConflict.__mro__[1] is RuntimeError
 
 
+def test_only_the_folders_of_candidates_are_read(spark, tmp_path, monkeypatch):
+    from delve.operators import index as I
+    from delve.operators import search as S
+
+    monkeypatch.setattr(I, "BUCKET_BYTES", 1 << 12)
+    texts = {f"k{n:03d}": f"{'rare word' if n == 77 else 'common'} number {n}\n".encode() + b"x" * 600 + b"\n" for n in range(200)}
+    root = str(tmp_path / "i")
+    update_index(spark, root, memory_corpus(spark, texts), "m", "trigram")
+    reader, program = Index(spark, root), compile_patterns(["rare"])
+    assert reader.table("content").select("bucket").distinct().count() > 20
+    found = S.candidates(reader, program, Scope())
+    files = found.blocks.inputFiles()
+    assert len({f.split("bucket=")[1].split("/")[0] for f in files}) == 1 or "PartitionFilters" in found.blocks._jdf.queryExecution().executedPlan().toString()
+    assert [r["key"] for r in search(reader, program).collect()] == ["k077"]
+    for few, broadcast in ((0, 1 << 20), (0, 0)):  # candidates are broadcast; all content is verified
+        monkeypatch.setattr(S, "FEW", few)
+        monkeypatch.setattr(S, "BROADCAST_BYTES", broadcast)
+        assert [r["key"] for r in search(reader, program).collect()] == ["k077"]
+        assert search(reader, compile_patterns(["common number 1.$"]), detail="documents").count() == 10
+        assert search_stats(reader, program)["candidates"] == 1
+
+
+def test_an_addition_over_the_cap_becomes_several_segments(spark, tmp_path):
+    state = {f"k{n:02d}": f"text {n}\n".encode() for n in range(20)}
+    events = []
+    report = update_index(spark, str(tmp_path / "i"), memory_corpus(spark, state), "m", "trigram", doc_cap=6, progress=events.append)
+    assert report["segments"] >= 4 and report["total_docs"] == 20
+    assert {r["key"] for r in search(Index(spark, str(tmp_path / "i")), compile_patterns(["text"])).collect()} == set(state)
+    assert [e["event"] for e in events][:1] == ["listed"] and events[-1]["event"] == "published"
+    import io
+    import tarfile
+
+    buffer = io.BytesIO()
+    with tarfile.open(fileobj=buffer, mode="w") as t:
+        for k in range(4):
+            info = tarfile.TarInfo(f"m{k}")
+            info.size = 1
+            t.addfile(info, io.BytesIO(b"x"))
+    with pytest.raises(ValueError, match="more than 3 documents"):
+        update_index(spark, str(tmp_path / "j"), memory_corpus(spark, {"a.tar": buffer.getvalue()}), "m", "trigram", doc_cap=3)
+    assert [p.name for p in (tmp_path / "j").iterdir()] == []
+
+
+def test_a_losing_writer_leaves_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "i")
+    update_index(spark, root, memory_corpus(spark, {"a": b"one\n", "b": b"two\n"}), "m", "trigram")
+    reader = Index(spark, root)
+    reader.check()
+    before = {p.name for p in (tmp_path / "i").iterdir()}
+    monkeypatch.setattr(type(reader.store), "create", lambda self, name, text: False)
+    with pytest.raises(IndexConflict):
+        update_index(spark, root, memory_corpus(spark, {"a": b"three\n"}), "m")
+    assert {p.name for p in (tmp_path / "i").iterdir()} == before
+    monkeypatch.undo()
+    update_index(spark, root, memory_corpus(spark, {"a": b"three\n"}), "m")
+    with pytest.raises(IndexChanged):
+        reader.check()
+
+
+def test_updates_by_listing_read_what_changed(spark, tmp_path):
+    from delve.sources import corpus as C
+
+    folder = tmp_path / "d"
+    folder.mkdir()
+    for n in range(6):
+        (folder / f"f{n}.txt").write_text(f"file {n}\n")
+    asked = []
+
+    def update():
+        fetch = lambda wanted: asked.append(sorted(r["key"] for r in wanted.collect())) or C.read_objects(spark, str(folder), wanted)
+        return update_index(spark, str(tmp_path / "i"), None, "m", "trigram", listing=C.list_objects(spark, str(folder)), fetch=fetch)
+
+    assert update()["added"] == 6 and update()["up_to_date"] and len(asked) == 1
+    (folder / "f3.txt").write_text("file three\n")
+    (folder / "f5.txt").unlink()
+    report = update()
+    assert (report["added"], report["removed"]) == (1, 2) and asked[1:] == [["f3.txt"]]
+    got = {(r["key"], r["text"]) for r in search(Index(spark, str(tmp_path / "i")), compile_patterns(["file"])).collect()}
+    assert got == {("f0.txt", "file 0"), ("f1.txt", "file 1"), ("f2.txt", "file 2"), ("f3.txt", "file three"), ("f4.txt", "file 4")}
+    gone = spark.createDataFrame([("f0.txt", "v"), ("nope.txt", "v")], "key string, version string")
+    assert [r["key"] for r in C.read_objects(spark, str(folder), gone).collect()] == ["f0.txt"]
+
+
 def test_pick_merge():
     seg = lambda b: {"bytes": b, "docs": 1}
     assert pick_merge([seg(1)] * 3) is None
