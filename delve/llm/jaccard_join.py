@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 from ._bytes import chunks, set_sums, shingles
 from ._components import connected_components
 from ._exchange import find_shared
-from ._shared import bounded_batches, materialize, shuffle_partitions, text_of
+from ._shared import bounded_batches, materialize, release, shuffle_partitions, text_of
 
-_META = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "m", "hi", "lo")])
+_META = pa.schema([(c, pa.int64()) for c in ("doc_id", "key", "n", "m", "hi", "lo")])
 _SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Shingles of a block that one task joins in memory (8 bytes each).
 REGION_SHINGLES = 2_000_000
-#: Pivots of a region that jobs split, and regions split by one job: bound what is broadcast.
-PIVOTS, REGIONS_AT_ONCE = 8, 64
+#: Pivots of a region that jobs split, regions split by one job, and shingles of their pivots (if it is not one region): bound what is broadcast.
+PIVOTS, REGIONS_AT_ONCE, PIVOT_SHINGLES = 8, 64, 4_000_000
 #: Pairs of parts that one job joins, each at most about a region of a task: bounds what is copied at once.
 PAIRS_AT_ONCE = 256
 
@@ -58,15 +58,14 @@ def slack(n: Column, percent: int) -> Column:
 
 def _extract(size: int, modulus: int):
     def run(batch: pa.RecordBatch):
-        ids = batch.column(0)
-        for lo, hi, data, offs in chunks(batch.column(1)):
+        for lo, hi, data, offs in chunks(batch.column(2)):
             row, value = shingles(data, offs, size)
             rows = hi - lo
             sums = [set_sums(row, value, rows, salt) for salt in _SALTS]
             taken = value % np.uint64(modulus) == 0
             n, m = np.bincount(row, minlength=rows), np.bincount(row[taken], minlength=rows)
             meta = pa.RecordBatch.from_arrays(
-                [ids.slice(lo, rows), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums)], schema=_META
+                [*(batch.column(c).slice(lo, rows) for c in (0, 1)), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums)], schema=_META
             )
             own = sums[0][row[taken]]
             yield meta, value[taken], own, np.zeros(len(own), np.uint64)
@@ -330,8 +329,10 @@ def _split(members: DataFrame, sets: DataFrame, percent: int, limit: int) -> tup
     spark = members.sparkSession
     leaves, edges, turn = [], [], 0
     while True:
-        sizes = members.groupBy("region").agg(F.sum("n").alias("weight"))
-        large = [r["region"] for r in sizes.where(F.col("weight") > limit).orderBy(F.desc("weight"), "region").limit(REGIONS_AT_ONCE).collect()]
+        sizes = members.groupBy("region").agg(F.sum("n").alias("weight"), F.max("n").alias("longest"))
+        rows = sizes.where(F.col("weight") > limit).orderBy(F.desc("weight"), "region").limit(REGIONS_AT_ONCE).collect()
+        upto = np.cumsum([PIVOTS * r["longest"] for r in rows])
+        large = [r["region"] for k, r in enumerate(rows) if k == 0 or upto[k] <= PIVOT_SHINGLES]
         if not large:
             return [*leaves, members], edges
         small = sizes.where(F.col("weight") <= limit).select("region")
@@ -378,29 +379,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs[text_col]).alias("text"))
+    text = text_of(docs[text_col])
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     found = materialize(find_shared(source, _extract(size, max(1, 60 // (100 - percent) if percent < 100 else 60)), _META, extras=False))
-    rows = found.where("owner is null").select("doc_id", "n", "m", "hi", "lo")
+    rows = found.where("owner is null").select("doc_id", "key", "n", "m", "hi", "lo")
     hits = found.where("owner is not null").groupBy("owner").agg(F.sum("hits").alias("hits"))
-    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("m").alias("m"))
+    one = F.coalesce(F.min_by("key", "doc_id"), F.min("key")).alias("rep_key")  # of a row that stands for the class: those without an id share nothing else
+    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), one, F.max("n").alias("n"), F.max("m").alias("m"))
     firsts = classes.where("rep is not null").groupBy("rep").agg(F.min(F.struct("hi", "lo")).alias("first"))
     node = F.when(F.struct("hi", "lo") == F.col("first"), F.col("rep")).otherwise(F.xxhash64("hi", "lo"))
-    classes = materialize(classes.join(firsts, "rep", "left").select("hi", "lo", "rep", "n", "m", node.alias("node")))
+    classes = materialize(classes.join(firsts, "rep", "left").select("hi", "lo", "rep", "rep_key", "n", "m", node.alias("node")))
     near = classes.join(hits, F.col("hi") == F.col("owner"), "left").where(F.coalesce("hits", F.lit(0)) >= F.col("m") - slack(F.col("n"), percent))
     run, schema = _sets(size)
-    texts = near.select("rep", "node", "hi", "lo").join(source, F.col("rep").eqNullSafe(F.col("doc_id"))).select("node", "hi", "lo", "text")
+    texts = near.select("rep", "rep_key", "node", "hi", "lo").join(source, F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("rep_key") == F.col("key"))).select("node", "hi", "lo", "text")
     sets = materialize(texts.mapInArrow(run, schema))
     again = materialize(sets.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node"))  # repeated rows
     if not again.isEmpty():
         sets = materialize(sets.join(again, "node", "left_anti").unionByName(sets.join(again, "node", "left_semi").dropDuplicates(["node"])))
 
     tok = sets.select("node", "n", F.explode("tokens").alias("t"))
-    freq = tok.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    freq = materialize(tok.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"))  # tables, so that Spark splits the hot shingles of the joins with them
     ordered = tok.join(freq, "t").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("by"))
     first = F.size("by") - (F.col("n") - slack(F.col("n"), percent)) + 1
     prefix = ordered.withColumn("k", first).where("k > 0").select("node", F.explode(F.slice("by", F.lit(1), F.col("k"))).alias("x")).select("node", F.col("x.t").alias("t"))
     prefix = materialize(prefix)
-    least = prefix.groupBy("t").agg(F.min("node").alias("b"))
+    release(freq)
+    least = materialize(prefix.groupBy("t").agg(F.min("node").alias("b")))
     blocks = connected_components(prefix.join(least, "t").select(F.col("node").alias("a"), "b"))
 
     members = blocks.join(sets.select("node", "n"), "node").select(F.col("root").alias("region"), "node", "n", F.lit(-1).cast("long").alias("tag"))

@@ -47,6 +47,8 @@ PASSAGE_WORDS, PASSAGE_STEP = 51, 16
 GROUP = 2_000
 #: Bytes of suffixes that a task sorts.
 BUCKET_BYTES = 32 << 20
+#: Bytes of a row that names equal contexts, and of a table of them that is broadcast.
+EQUAL_BYTES, BROADCAST_BYTES = 100, 16 << 20
 #: Bytes of a symbol by what texts are made of.
 UNITS = {"bytes": 1, "words": 4}
 _META = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("size", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sha", pa.string())])
@@ -260,6 +262,7 @@ def _halved(hot: DataFrame, window: int, step: int, width: int, group: int, acro
         # counts are tables of their own, so that Spark splits the hot keys of the joins with them
         groups = materialize(keyed.groupBy("same", "far", "near").agg(F.min(place).alias("first"), F.count("*").alias("n"), ((F.min("hi") != F.max("hi")) | F.max("many")).alias("texts")))
         again = groups.where(F.col("n") > 1).where("texts" if across else "true").select(F.col("same").alias("same_"), F.col("far").alias("far_"), F.col("near").alias("near_"))
+        again = F.broadcast(again) if again.count() * EQUAL_BYTES <= BROADCAST_BYTES else again  # beyond, the join shuffles and Spark splits its hot keys
         equal = keyed.select("hi", "at", "far", "near", "same").join(again, (F.col("same") == F.col("same_")) & (F.col("far") == F.col("far_")) & (F.col("near") == F.col("near_")))
         spans.append(equal.select("hi", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + window).alias("end")))
         firsts = groups.select(F.col("first.hi").alias("hi"), F.col("first.at").alias("at"), "far", "near", "texts")

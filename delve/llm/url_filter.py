@@ -3,19 +3,21 @@
 Each host label, from the top-level domain down, is a step; a node of the host trie holds a trie of
 the path segments of the rules that end there. A lookup walks the host once and keeps, at each
 node, the longest path rule that fits: the deepest host with a fitting rule wins, and under it the
-longest path; of equal rules block precedes allow. The trie is broadcast if the rules are within
-TRIE_BYTES; a larger list is joined by host instead.
+longest path; of equal rules block precedes allow. The trie is broadcast. A list of over
+TRIE_BYTES becomes several tries, broadcast one after the other; the best of their answers wins by the same order.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import materialize, release, temp_name
+
 TRIE_BYTES = 64 << 20
 Rule = tuple[str, str, str]  # verdict, host, path
 _AUTHORITY = re.compile(r"[/?#]")
@@ -84,30 +86,41 @@ def lookup(trie: dict, host: str, path: str) -> tuple[str, str] | None:
     return best
 
 
-def _by_join(pages: DataFrame, rules: list[Rule] | DataFrame, url_col: str, default: str, spark: SparkSession) -> DataFrame:
-    """The same verdicts for a list too large to broadcast: each url's host suffixes meet the rules of that host."""
-    if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string")
-    else:
-        rules = rules.toDF("verdict", "rule_host", "rule_path")
-    parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    urls = pages.select(F.col(url_col).alias("url")).distinct().select("url", host_path("url").alias("hp")).select("url", "hp.host", "hp.path")
-    each = urls.select("url", "path", F.explode(F.array_union(suffixes, F.array(F.lit("")))).alias("suffix"))
-    fits = each.join(rules, (F.col("suffix") == F.col("rule_host")) & F.col("path").startswith(F.col("rule_path")))
-    depth = F.when(F.col("rule_host") == "", F.lit(0)).otherwise(F.size(F.split("rule_host", r"\.")))
-    order = F.struct(depth.alias("depth"), F.length("rule_path").alias("length"), (F.col("verdict") == "block").alias("first"))
-    best = fits.groupBy("url").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), order).alias("best"))
-    verdicts = urls.join(best, "url", "left").select(F.col("url").alias("url_"), F.struct("host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict")).alias("judged"))
-    return pages.join(verdicts, F.col(url_col).eqNullSafe(F.col("url_")), "left").drop("url_")
+def _tries(rules: Iterable[Rule], limit: int) -> Iterator[dict]:
+    """Tries of at most ``limit`` bytes of rules each (and a rule at least); one empty trie for no rules."""
+    held, size = [], 0
+    for rule in rules:
+        weight = len(rule[1]) + len(rule[2]) + 16
+        if held and size + weight > limit:
+            yield build_trie(held)
+            held, size = [], 0
+        held.append(rule)
+        size += weight
+    yield build_trie(held)
+
+
+def precedence(verdict: str, rule: str) -> tuple[int, int, bool]:
+    """Order of rules that fit one url: by host labels, then by path, then block."""
+    host, slash, path = rule.partition("/")
+    return len(host.split(".")) if host else 0, len(slash + path), verdict == "block"
+
+
+_JUDGED = "host string, path string, rule string, verdict string"
 
 
-def host_path(url_col: str):
-    @F.pandas_udf("host string, path string")
-    def split(urls: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([split_url(u) for u in urls], columns=["host", "path"])
+def _judge(trie, default: str):
+    @F.pandas_udf(_JUDGED)
+    def judge(urls: pd.Series, so_far: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for url, rule, verdict in zip(urls, so_far["rule"], so_far["verdict"], strict=True):
+            host, path = split_url(url)
+            best = lookup(trie.value, host, path)
+            if isinstance(rule, str) and (best is None or precedence(verdict, rule) >= precedence(*best)):
+                best = verdict, rule
+            out.append((host, path, best[1] if best else None, best[0] if best else default))
+        return pd.DataFrame(out, columns=["host", "path", "rule", "verdict"])
 
-    return split(F.col(url_col))
+    return judge
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow", trie_bytes: int = TRIE_BYTES) -> DataFrame:
@@ -125,19 +138,14 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defaul
     added = ("host", "path", "rule", "verdict")
     stays = [c for c in pages.columns if c.lower() not in added or c == url_col]
     source = pages.select(*stays)
-    if sum(len(h) + len(p) + 16 for _, h, p in rules) <= trie_bytes:
-        trie = spark.sparkContext.broadcast(build_trie(rules))
-
-        @F.pandas_udf("host string, path string, rule string, verdict string")
-        def judge(urls: pd.Series) -> pd.DataFrame:
-            out = []
-            for url in urls:
-                host, path = split_url(url)
-                best = lookup(trie.value, host, path)
-                out.append((host, path, best[1] if best else None, best[0] if best else default))
-            return pd.DataFrame(out, columns=["host", "path", "rule", "verdict"])
-
-        judged = source.withColumn("judged", judge(F.col(url_col)))
-    else:
-        judged = _by_join(source, rules, url_col, default, spark)
-    return judged.select(*stays, "judged.host", "judged.path", "judged.rule", "judged.verdict")
+    name = temp_name(source, "judged")
+    judged = source.withColumn(name, F.lit(None).cast("struct<host:string,path:string,rule:string,verdict:string>"))
+    spent = []
+    for k, one in enumerate(_tries(rules, trie_bytes)):
+        if k:  # one trie in a worker's memory at a time
+            judged = materialize(judged)
+            spent.append(judged)
+            release(*spent[:-1])
+            del spent[:-1]
+        judged = judged.withColumn(name, _judge(spark.sparkContext.broadcast(one), default)(F.col(url_col), F.col(name)))
+    return judged.select(*stays, f"{name}.host", f"{name}.path", f"{name}.rule", f"{name}.verdict")

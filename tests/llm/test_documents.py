@@ -119,6 +119,62 @@ def test_jaccard_join_of_repeated_rows(spark):
         assert got == want
 
 
+def test_jaccard_join_of_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words[:-1], "z"])), (None, " ".join(words)), (4, " ".join([*words[1:], "y"])), (None, " ".join(reversed(words))), (None, None), (None, "a b"), (7, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for limit in (2_000_000, 60):
+        got = collections.Counter(tuple(r) for r in jaccard_components(df, region_shingles=limit).collect())
+        assert got == {(None, 56, 4): 3, (4, 56, 4): 1, (None, 56, None): 1, (None, 0, None): 1, (None, 1, 7): 1, (7, 1, 7): 1}
+
+
+def test_jaccard_join_of_documents_made_of_shared_passages(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    passages = [" ".join(rng.choices(vocab, k=60)) for _ in range(9)]
+    rows = [(k, " ".join([*rng.sample(passages, rng.choice([3, 4])), *rng.choices(vocab, k=rng.randint(0, 25))]), None) for k in range(90)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    counts, split = [], jaccard_join.materialize
+
+    def counted(table):
+        out = split(table)
+        if {"region", "node"} <= set(out.columns):
+            counts.append(out.count())
+        return out
+
+    jaccard_join.materialize = counted
+    try:
+        got = {r[0]: (r[1], r[2]) for r in jaccard_components(df, region_shingles=3000).collect()}
+    finally:
+        jaccard_join.materialize = split
+    assert got == components(rows)
+    assert max(counts) <= jaccard_join.PIVOTS * len(rows)  # no turn copies what the one before it copied
+
+
+def test_tables_of_a_lost_session(tmp_path):
+    from delve.llm import _shared
+
+    class Gone:
+        @property
+        def sparkContext(self):
+            raise ConnectionError
+
+    owner = Gone()
+    _shared._written["file:///nowhere"] = owner
+    _shared.drop_tables(owner)
+    assert "file:///nowhere" not in _shared._written
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        _shared.shared_root(Cluster())
+
+
 def test_jaccard_join_keeps_one(docs, none):
     df, rows = docs
     kept = keep_one_per_component(df)
@@ -213,6 +269,9 @@ def test_decontamination(docs, none, spark, broadcast):
     assert all(r["n_hit"] == 0 for r in benchmark_hits(df, bench.limit(0), broadcast_bytes=broadcast).collect())
     twice = df.where("doc_id < 3").unionByName(df.where("doc_id < 3"))
     assert benchmark_hits(twice, bench, broadcast_bytes=broadcast).count() == 6
+    lost = spark.createDataFrame([(None, passage), (None, passage), (None, None), (None, "x " * 100_000 + passage)], "doc_id long, text string")
+    rest = sorted((r["n_words"], r["n_hit"]) for r in benchmark_hits(lost, bench, broadcast_bytes=broadcast).collect())
+    assert rest == sorted((n, h) for n, h, _ in brute_hits([(k, *r[1:], None) for k, r in enumerate([tuple(r) for r in lost.collect()])], items).values())
     assert spark.range(1).select(contaminated(F.lit(1), F.lit(20))).first()[0] and not spark.range(1).select(contaminated(F.lit(1), F.lit(21))).first()[0]
 
 
