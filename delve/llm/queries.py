@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +85,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_mixing, op2_quality, op3_secrets, op4_warc, op5_suffix_dedup, op6_html_extraction, op7_exact_dedup, op8_decontamination, op9_jaccard_join, op10_url_filters)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 _OP1 = r"""
@@ -117,6 +116,17 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+_OP4 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+d AS (SELECT *, sha1(h) AS hex FROM p),
+b AS (
+  SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(hex, 5 * k + 1, 5))::BIGINT) AS bits FROM d)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(bits, lambda n: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM b
+"""
+
 _OP7 = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -187,5 +197,4 @@ FROM r
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators it can express; the others are tested against brute force."""
-    found = {"op1_mixing": _OP1, "op7_exact_dedup": _OP7, "op8_decontamination": _OP8, "op9_jaccard_join": _OP9, "op10_url_filters": _OP10}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op1_mixing": _OP1, "op4_warc": _OP4, "op7_exact_dedup": _OP7, "op8_decontamination": _OP8, "op9_jaccard_join": _OP9, "op10_url_filters": _OP10}
