@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from delve.functions.grams import block_grams, pick_strategy, strided
-from delve.sources.corpus import decode_corpus
+from delve.sources.corpus import decode_corpus, vanished
 from delve.sources.decode import Limits
 
 #: Share of dead documents or bytes that repacks a segment, segments before merging, and caps of a merge.
@@ -211,7 +211,7 @@ def _write_docs(docs: DataFrame, base: str) -> None:
     docs.join(places, "doc_id").select(*(c.split(" ")[0] for c in SCHEMAS["docs"].split(", "))).repartitionByRange("display_key").sortWithinPartitions("display_key").write.parquet(f"{base}/docs")
 
 
-def _write_segment(spark: SparkSession, store: _Store, corpus: DataFrame, strategy: str, vanished: DataFrame | None, limits: Limits | None) -> dict | None:
+def _write_segment(spark: SparkSession, store: _Store, corpus: DataFrame, strategy: str, lost: DataFrame | None, limits: Limits | None) -> dict | None:
     seg = uuid.uuid4().hex
     base = f"{store.root}/seg-{seg}"
     doc = F.xxhash64("display_key", "version")
@@ -227,8 +227,8 @@ def _write_segment(spark: SparkSession, store: _Store, corpus: DataFrame, strate
     )
     _write_docs(docs, base)
     sources = rows.groupBy("seg", "source_key", "version", "encoded_size").agg(F.max("encoding").alias("encoding"), F.countDistinct("display_key").alias("doc_count"), F.max("failed").alias("failed"), F.lit(False).alias("retry"))
-    if vanished is not None:
-        gone = vanished.select(F.lit(seg).alias("seg"), F.col("key").alias("source_key"), F.col("version"), F.lit(0).cast("long").alias("encoded_size"), F.lit(None).cast("string").alias("encoding"), F.lit(0).cast("long").alias("doc_count"), F.lit(False).alias("failed"), F.lit(True).alias("retry"))
+    if lost is not None:
+        gone = lost.select(F.lit(seg).alias("seg"), F.col("key").alias("source_key"), F.col("version"), F.lit(0).cast("long").alias("encoded_size"), F.lit(None).cast("string").alias("encoding"), F.lit(0).cast("long").alias("doc_count"), F.lit(False).alias("failed"), F.lit(True).alias("retry"))
         sources = sources.unionByName(gone)
     sources.repartitionByRange("source_key").write.parquet(f"{base}/sources")
     grams = block_grams(content, strategy).select("gram", "doc_id", "block")
@@ -237,9 +237,9 @@ def _write_segment(spark: SparkSession, store: _Store, corpus: DataFrame, strate
     return _describe(spark, store, seg)
 
 
-def _write_bounded(spark: SparkSession, store: _Store, corpus: DataFrame, strategy: str, vanished: DataFrame | None, limits: Limits | None, doc_cap: int) -> Iterator[dict]:
+def _write_bounded(spark: SparkSession, store: _Store, corpus: DataFrame, strategy: str, lost: DataFrame | None, limits: Limits | None, doc_cap: int) -> Iterator[dict]:
     """Segments of at most ``doc_cap`` documents: one that has more is halved by ranges of keys, and again. One object over the cap is refused."""
-    made = _write_segment(spark, store, corpus, strategy, vanished, limits)
+    made = _write_segment(spark, store, corpus, strategy, lost, limits)
     if not made or made["docs"] <= doc_cap:
         if made:
             yield made
@@ -257,7 +257,7 @@ def _write_bounded(spark: SparkSession, store: _Store, corpus: DataFrame, strate
     store.delete(f"seg-{made['id']}")
     for k, low in enumerate(cuts):
         inside = (F.col("key") >= low if k else F.lit(True)) & (F.col("key") < cuts[k + 1] if k + 1 < len(cuts) else F.lit(True))
-        yield from _write_bounded(spark, store, corpus.where(inside), strategy, None if vanished is None else vanished.where(inside), limits, doc_cap)
+        yield from _write_bounded(spark, store, corpus.where(inside), strategy, None if lost is None else lost.where(inside), limits, doc_cap)
 
 
 def _describe(spark: SparkSession, store: _Store, seg: str) -> dict | None:
@@ -336,7 +336,7 @@ def update_index(
             wanted = listing.join(add, "key", "left_semi")
             tell({"event": "listed", "objects": counts.get("add", 0) + counts.get("replace", 0), "removed": counts.get("remove", 0)})
             rows = corpus.join(add, "key", "left_semi") if fetch is None else fetch(wanted)
-            gone = wanted.join(rows.select("key"), "key", "left_anti")
+            gone = vanished(wanted, rows)
             for made in _write_bounded(spark, store, rows, strategy, gone, limits, doc_cap):
                 new.segments.append(made)
                 written.append(f"seg-{made['id']}")

@@ -87,11 +87,22 @@ def count_lines(docs: DataFrame, program: Program, text: str = "text", keep: tup
     return matching_lines(docs, program, text, keep).groupBy(*keep).agg(n.cast("long").alias("n"))
 
 
+def first_lines(lines: DataFrame, max_count: int, keep: tuple[str, ...] = ("key",)) -> DataFrame:
+    """The first ``max_count`` of the lines of each document; a line that came twice, of regions that overlap, counts once."""
+    rank = F.dense_rank().over(Window.partitionBy(*keep).orderBy("line"))
+    return lines.dropDuplicates([*keep, "line"]).withColumn("rank_", rank).where(F.col("rank_") <= max_count).drop("rank_")
+
+
+def verified_lines(docs: DataFrame, places: DataFrame, program: Program, text: str = "text", keep: tuple[str, ...] = ("key",)) -> DataFrame:
+    """Whole lines (keep..., line, text) at places (keep..., line) that do match."""
+    return plain_lines(docs, text, keep).join(places.select(*keep, "line").distinct(), [*keep, "line"], "left_semi").where(line_matches(F.col("text"), program))
+
+
 def count_matches(docs: DataFrame, program: Program, text: str = "text", keep: tuple[str, ...] = ("key",), max_count: int | None = None) -> DataFrame:
     """Matches per document that has one; with ``max_count``, on its first matching lines."""
     lines = matching_lines(docs, program, text, keep)
     if max_count is not None:
-        lines = lines.withColumn("rank", F.row_number().over(Window.partitionBy(*keep).orderBy("line"))).where(F.col("rank") <= max_count)
+        lines = first_lines(lines, max_count, keep)
     n = F.size(submatches(F.col("text"), program)) if program.can_be_empty else F.regexp_count("text", F.lit(program.java))
     return lines.select(*keep, n.cast("long").alias("m")).groupBy(*keep).agg(F.sum("m").alias("n"))
 
@@ -103,7 +114,7 @@ def match_windows(lines: DataFrame, size: int) -> DataFrame:
     clip_start, clip_end (bytes of the line), clipped_left, clipped_right and excerpt (binary).
     """
     n = F.octet_length("text").cast("long")
-    first = F.element_at("submatches", 1)
+    first = F.get("submatches", F.lit(0))
     length = F.least(F.lit(size).cast("long"), n)
     width = F.least(first["end"] - first["start"], length)
     start = F.greatest(F.lit(0).cast("long"), F.least(first["start"] - F.floor((length - width) / 2).cast("long"), n - length))

@@ -12,7 +12,7 @@ from delve.plans.gramplan import plan, simplify
 
 from .candidates import any_of, candidate_blocks, gram_counts, most_places
 from .index import Index
-from .lines import document_hits, match_windows, submatches, with_context
+from .lines import document_hits, first_lines, match_windows, submatches, with_context
 from .scope import Scope, candidate_prefix
 
 KEEP = ("key",)
@@ -107,9 +107,7 @@ def search(index: Index, program: Program, scope: Scope | None = None, detail: s
     else:
         events = lines.where(hit).withColumn("kind", F.lit("match"))
         if max_count is not None:
-            from pyspark.sql import Window
-
-            events = events.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("line"))).where(F.col("rank") <= max_count).drop("rank")
+            events = first_lines(events, max_count)
     if detail == "count_lines":
         return events.groupBy("key").agg(F.count("*").alias("n"))
     events = events.withColumn("submatches", submatches(F.col("text"), program))

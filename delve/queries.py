@@ -87,7 +87,7 @@ _plain("mat02_matching_lines", "regexp_matches(text, 'ion[a-z]{3} [a-z]+ed')", [
 _plain("pat01_fixed_string", "contains(text, 'the.')", ["the."], fixed=True)
 _plain("pat02_ignore_case", "regexp_matches(text, '(?i)licensed|akia')", ["LicensEd", "aKia"], ignore_case=True)
 _plain("pat03_smart_case", "regexp_matches(text, '(?i)license')", ["license"], smart_case=True)
-_plain("pat04_word_regexp", "regexp_matches(text, '(^|[^0-9A-Za-z_])the($|[^0-9A-Za-z_])') AND regexp_full_match(text, '[ -~]*')", ["the"], word=True)
+_plain("pat04_word_regexp", r"regexp_matches(text, '(^|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}])the($|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}])')", ["the"], word=True)
 _plain("pat05_line_anchor", "regexp_matches(text, '^The .*ed[.]$')", ["^The .*ed[.]$"])
 _plain("pat06_no_line_feed", "regexp_matches(text, 'ing[^a-z]*$')", ["ing[^a-z]*$"])
 
@@ -137,9 +137,9 @@ def mat06(spark, sf):
     return L.with_context(L.plain_lines(docs), F.col("text").rlike(program.java), 0, 1, max_count=1)
 
 
-@query("mat07_files_with_matches", f"WITH {_DOCS} SELECT key FROM docs WHERE regexp_matches(text, 'AKIA[A-Z0-9]+')")
+@query("mat07_files_with_matches", f"WITH {_DOCS} SELECT key FROM docs WHERE regexp_matches(text, '(secret|token|password)[^a-z]')")
 def mat07(spark, sf):
-    return L.document_hits(_docs(spark, sf), compile_patterns(["AKIA[A-Z0-9]+"])).select("key")
+    return L.document_hits(_docs(spark, sf), compile_patterns(["(secret|token|password)[^a-z]"])).select("key")
 
 
 @query("mat08_count_lines", f"WITH {_LINES} SELECT key, count(*) AS n FROM lines WHERE contains(text, 'tion') GROUP BY key")
@@ -178,15 +178,6 @@ def mat13(spark, sf):
     return L.merge_events(parts[0].unionByName(parts[1])).select("key", "line", "kind")
 
 
-@query("mat19_search_stats", f"WITH {_DOCS} SELECT sum((contains(text, 'Lic') AND contains(text, 'ice') AND contains(text, 'cen') AND contains(text, 'ens') AND contains(text, 'nse') AND contains(text, 'sed'))::INT)::BIGINT AS candidates, count(*) AS total, sum(contains(text, 'Licensed')::INT)::BIGINT AS hits FROM docs")
-def mat19(spark, sf):
-    docs = _docs(spark, sf)
-    program = compile_patterns(["Licensed"])
-    chosen = _candidates(docs, program)
-    hits = L.document_hits(docs.join(chosen, "doc_id", "left_semi"), program).agg(F.count("*").alias("hits"))
-    return chosen.agg(F.countDistinct("doc_id").alias("candidates")).join(docs.agg(F.count("*").alias("total"))).join(hits).select("candidates", "total", "hits")
-
-
 # ---------------------------------------------------------------- grams and candidates
 
 
@@ -255,7 +246,12 @@ def idx07(spark, sf):
     return _docs(spark, sf).select("doc_id", F.when(is_prose(F.col("text")), "prose").when(~is_prose(F.col("text")), "other").otherwise("short").alias("prose"), n["total"].alias("n"), n["text"].alias("sum_text"), n["signs"].alias("sum_signs"), n["digits"].alias("sum_digits"))
 
 
-@query("idx08_strategy_pick")
+@query("idx08_strategy_pick", f"""WITH {_DOCS}, r AS (SELECT text, row_number() OVER (ORDER BY key) - 1 AS nth, greatest(1, count(*) OVER () // 16) AS stride FROM docs),
+t AS (SELECT substr(text, 1, 262144) AS t FROM r WHERE nth % stride = 0 AND nth < 16 * stride),
+n AS (SELECT strlen(t)::BIGINT AS n, (strlen(t) - strlen(regexp_replace(t, '[A-Za-z \\t\\r\\n]', '', 'g'))) AS a, (strlen(t) - strlen(regexp_replace(t, '[{{}}\\[\\]":,=<>();_/\\\\]', '', 'g'))) AS s, (strlen(t) - strlen(regexp_replace(t, '[0-9]', '', 'g'))) AS d FROM t),
+p AS (SELECT n, a / n >= 0.85 AND s / n <= 0.04 AND d / n <= 0.03 AS prose FROM n WHERE n >= 256),
+c AS (SELECT coalesce(sum(n) FILTER (WHERE prose), 0)::BIGINT AS prose_bytes, coalesce(sum(n), 0)::BIGINT AS sampled_bytes FROM p)
+SELECT CASE WHEN sampled_bytes > 0 AND 3 * prose_bytes >= 2 * sampled_bytes THEN 'sparse' ELSE 'trigram' END AS strategy, prose_bytes, sampled_bytes FROM c""")
 def idx08(spark, sf):
     return pick_strategy(_docs(spark, sf), "key", "text")
 
@@ -417,12 +413,6 @@ def flt07(spark, sf):
     return events.where(Scope(since=at(2), until=at(5)).admits(F.col("key"))).agg(F.count("*").alias("n"))
 
 
-@query("flt09_live_docs", f"WITH {_DOCS} SELECT key FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
-def flt09(spark, sf):
-    dead = _t(spark, sf, "labels").where("toxic = 1").select("doc_id")
-    return _docs(spark, sf).join(dead, "doc_id", "left_anti").select("key")
-
-
 @query("flt10_excluded", "SELECT count(*) AS excluded FROM documents WHERE doc_id % 7 = 3")
 def flt10(spark, sf):
     d = _t(spark, sf, "documents").withColumn("lead", F.when(F.col("doc_id") % 7 == 3, F.lit(bytes.fromhex("1f8b08"))).otherwise(F.lit(b"")))
@@ -483,12 +473,16 @@ def snk03(spark, sf):
     return binary_notices(found)
 
 
-@query("snk05_counts", f"WITH {_LINES} SELECT key || ':' || count(*) AS value FROM lines WHERE contains(text, 'AKIA') GROUP BY key")
+@query("snk05_counts", f"WITH {_LINES} SELECT key || ':' || count(*) AS value FROM lines WHERE contains(text, 'Licensed') GROUP BY key")
 def snk05(spark, sf):
-    return L.count_lines(_docs(spark, sf), compile_patterns(["AKIA"])).select(F.concat_ws(":", "key", F.col("n").cast("string")).alias("value"))
+    return L.count_lines(_docs(spark, sf), compile_patterns(["Licensed"])).select(F.concat_ws(":", "key", F.col("n").cast("string")).alias("value"))
 
 
-@query("snk07_json_lines")
+@query("snk07_json_lines", f"""WITH {_LINES}, o AS (SELECT *, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY key ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM lines),
+h AS (SELECT *, string_split(text, 'Licensed') AS p FROM o WHERE contains(text, 'Licensed')),
+s AS (SELECT *, list_transform(range(1, len(p)), lambda k: list_sum(list_transform(p[1:k], lambda x: strlen(x))) + 8 * (k - 1)) AS spots FROM h)
+SELECT '{{{{"type":"match","data":{{{{"path":{{{{"text":' || CAST(to_json(key) AS VARCHAR) || '}}}},"lines":{{{{"text":' || CAST(to_json(text || chr(10)) AS VARCHAR) || '}}}},"line_number":' || line || ',"absolute_offset":' || place || ',"submatches":[' ||
+  array_to_string(list_transform(spots, lambda x: '{{{{"start":' || x::BIGINT || ',"end":' || (x + 8)::BIGINT || '}}}}'), ',') || ']}}}}}}}}' AS message FROM s""".replace("{{", "{").replace("}}", "}"))
 def snk07(spark, sf):
     found = L.matching_lines(_docs(spark, sf), compile_patterns(["Licensed"]), spans=True, offsets=True).withColumn("kind", F.lit("match"))
     return json_events(found).select("message")

@@ -18,13 +18,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 from pyarrow import orc
 
 from delve.functions.grams import document_grams
-from delve.functions.patterns import compile_patterns, find_spans, max_length, plan_kinds, search_extent
+from delve.functions.patterns import compile_patterns, max_length, plan_kinds, search_extent
 from delve.operators import lines as L
 from delve.operators import render
 from delve.operators.index import MERGE_BYTES, MERGE_DOCS, Index, diff_listing, pick_merge, update_index
@@ -32,7 +32,8 @@ from delve.operators.scope import Scope, candidate_prefix, parse_instant, prefix
 from delve.operators.search import list_files, search, search_stats
 from delve.plans.gramplan import plan, simplify
 from delve.queries import _DOCS, _LINES, _candidates, _docs, _hit_offsets, _postings, _t, query
-from delve.sources.corpus import decode_corpus, document_keys, list_objects, read_corpus, scan_documents, table_corpus
+from delve.operators.regions import chunked_hits, coalesce_ranges, fetch_documents, line_of_offset, whole_lines
+from delve.sources.corpus import decode_corpus, document_keys, list_objects, listed, outside, scan_documents, stale, table_corpus, vanished
 from delve.sources.decode import Limits, decode_requested
 
 # ---------------------------------------------------------------- formats
@@ -208,22 +209,41 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
 @query("src03_listing_subset", f"WITH {_DOCS} SELECT key, sha256(text) AS version, strlen(text)::BIGINT AS encoded_size FROM docs WHERE doc_id % 5 = 0")
 def src03(spark, sf):
     d = _t(spark, sf, "documents")
-    return _corpus(spark, sf).join(d.where("doc_id % 5 = 0").select(document_keys(d).alias("key")), "key", "left_semi").drop("content")
+    return listed(_corpus(spark, sf), d.where("doc_id % 5 = 0").select(document_keys(d).alias("key"))).drop("content")
 
 
 @query("src04_vanished", f"WITH {_DOCS} SELECT key FROM docs WHERE doc_id % 9 = 4")
 def src04(spark, sf):
     d = _t(spark, sf, "documents")
     left = d.where("doc_id % 9 <> 4")
-    return d.select(document_keys(d).alias("key")).join(table_corpus(left, document_keys(left), left["text"]).select("key"), "key", "left_anti")
+    return vanished(d.select(document_keys(d).alias("key")), table_corpus(left, document_keys(left), left["text"]))
 
 
 @query("src06_stale", f"WITH {_DOCS} SELECT key FROM docs WHERE doc_id % 11 = 5")
 def src06(spark, sf):
     d = _t(spark, sf, "documents")
     now = table_corpus(d, document_keys(d), F.when(d["doc_id"] % 11 == 5, F.concat(F.coalesce(d["text"], F.lit("")), F.lit("!"))).otherwise(d["text"]))
-    listed = _corpus(spark, sf).select("key", F.col("version").alias("listed"))
-    return now.join(listed, "key").where("version <> listed").select("key")
+    return stale(_corpus(spark, sf), now)
+
+
+@query("src09_fetch_members", "SELECT 'conv/' || conv_id || '.zip!/' || turn || '-' || role || '.txt' AS key, sha256(coalesce(text, '')) AS sha FROM conversations WHERE turn % 2 = 1")
+def src09(spark, sf):
+    """Every second turn out of archives that hold a conversation each: an object is decoded once, whatever is asked of it."""
+    schema = "key string, content binary"
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        f = io.BytesIO()
+        with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for turn, role, text in zip(rows["turn"], rows["role"], rows["text"], strict=True):
+                z.writestr(f"{turn}-{role}.txt", text or "")
+        return pd.DataFrame({"key": [f"conv/{rows['conv_id'].iloc[0]}.zip"], "content": [f.getvalue()]})
+
+    turns = _t(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    packed = turns.groupBy("conv_id").applyInPandas(pack, schema)  # an archive holds one conversation
+    corpus = packed.select("key", F.lit("1").alias("version"), F.octet_length("content").cast("long").alias("encoded_size"), "content")
+    name = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit(".zip"))
+    wanted = turns.where("turn % 2 = 1").select(name.alias("source_key"), F.lit("1").alias("version"), F.concat(name, F.lit("!/"), F.col("turn").cast("string"), F.lit("-"), "role", F.lit(".txt")).alias("key"))
+    return fetch_documents(corpus, wanted).select("key", F.sha2("bytes", 256).alias("sha"))
 
 
 @query("src08_requested_member", "SELECT conv_id, turn, sha256(coalesce(text, '')) AS sha FROM conversations")
@@ -253,7 +273,7 @@ def flt08(spark, sf):
 
 @query("flt11_index_namespace", f"WITH {_DOCS} SELECT key FROM docs WHERE NOT starts_with(key, 'docs/src0/')")
 def flt11(spark, sf):
-    return _corpus(spark, sf).where(~F.col("key").startswith("docs/src0/")).select("key")
+    return outside(_corpus(spark, sf), "docs/src0/").select("key")
 
 
 @query("flt12_matching_documents", f"WITH {_LINES} SELECT DISTINCT key FROM lines WHERE regexp_matches(text, '[a-z]tion[.]$')")
@@ -276,13 +296,7 @@ def pat09(spark, sf):
 
 @query("pat13_find_iter", f"WITH {_DOCS} SELECT key, len(regexp_extract_all(text, '[a-z]ing'))::BIGINT AS n FROM docs")
 def pat13(spark, sf):
-    regex = compile_patterns(["[a-z]ing"]).python
-
-    @F.pandas_udf("long")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(find_spans(regex, t.encode())) for t in texts])
-
-    return _docs(spark, sf).select("key", found("text").alias("n"))
+    return _docs(spark, sf).select("key", F.size(L.submatches(F.col("text"), compile_patterns(["[a-z]ing"]))).cast("long").alias("n"))
 
 
 # ---------------------------------------------------------------- grams and candidates
@@ -323,24 +337,55 @@ def mat01(spark, sf):
 @query("mat12_capped_lines", f"WITH {_LINES} SELECT key, line FROM (SELECT key, line, row_number() OVER (PARTITION BY key ORDER BY line) AS k FROM lines WHERE contains(text, 'tion')) WHERE k <= 2")
 def mat12(spark, sf):
     found = L.matching_lines(_docs(spark, sf), compile_patterns(["tion"])).select("key", "line")
-    twice = found.unionByName(found).dropDuplicates(["key", "line"])  # regions may overlap
-    return twice.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("line"))).where("k <= 2").drop("k")
+    return L.first_lines(found.unionByName(found), 2)  # regions may overlap
 
 
 @query("mat14_full_lines", f"WITH {_LINES} SELECT key, line, text FROM lines WHERE contains(text, 'Licensed')")
 def mat14(spark, sf):
     docs, program = _docs(spark, sf), compile_patterns(["Licensed"])
-    places = L.matching_lines(docs, program).select("key", "line")
-    return L.plain_lines(docs).join(places, ["key", "line"], "left_semi").where(L.line_matches(F.col("text"), program))
+    return L.verified_lines(docs, L.plain_lines(docs).where("line % 2 = 0 or contains(text, 'Licensed')"), program)
+
+
+@query("mat15_chunked_match", f"WITH {_LINES} SELECT DISTINCT key FROM lines WHERE regexp_matches(text, '[a-z]{{4}}ing [a-z]{{2}} the')")
+def mat15(spark, sf):
+    return chunked_hits(_docs(spark, sf), compile_patterns(["[a-z]{4}ing [a-z]{2} the"]), size=4096)
+
+
+_PLACES = "o AS (SELECT *, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY key ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place, max(line) OVER (PARTITION BY key) AS n FROM lines)"
+
+
+@query("mat16_whole_lines", f"""WITH {_LINES}, {_PLACES}, h AS (
+  SELECT key, line, n, place + strlen(string_split(text, 'Licensed')[1]) AS s FROM o WHERE contains(text, 'Licensed')),
+r AS (SELECT key, s, greatest(1, line - 1) AS a, least(n, line + 2) AS b FROM h)
+SELECT r.key, s::BIGINT AS start, min(o.place)::BIGINT AS from_byte, least(max(o.place + strlen(o.text) + 1), max(strlen(d.text)))::BIGINT AS to_byte, a::BIGINT AS from_line, b::BIGINT AS to_line
+FROM r JOIN o ON r.key = o.key AND o.line BETWEEN a AND b JOIN docs d ON d.key = r.key GROUP BY r.key, s, a, b""")
+def mat16(spark, sf):
+    blocks = decode_corpus(_corpus(spark, sf), block=1024).where("display_key is not null").select(F.col("display_key").alias("key"), "first_line", "start", "newlines", "bytes")
+    hits = L.matching_lines(_docs(spark, sf), compile_patterns(["Licensed"]), spans=True, offsets=True)
+    first = F.col("offset") + F.get("submatches", F.lit(0))["start"]
+    ranges = hits.select("key", first.alias("start"), (first + 8).alias("end"))
+    return whole_lines(blocks, ranges, 1, 2).select("key", "start", "from_byte", "to_byte", "from_line", "to_line")
+
+
+@query("mat18_coalesced_ranges", f"""WITH {_DOCS}, w AS (SELECT key, strlen(text)::BIGINT AS size, string_split(text, 'tion') AS p FROM docs WHERE contains(text, 'tion')),
+e AS (SELECT key, size, unnest(range(1, len(p))) AS k, p FROM w),
+h AS (SELECT key, size, (list_sum(list_transform(p[1:k], lambda x: strlen(x))) + 4 * (k - 1))::BIGINT AS s FROM e),
+m AS (SELECT *, coalesce(s > max(s + 4) OVER (PARTITION BY key ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 64, true)::INT AS new FROM h),
+g AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM m),
+c AS (SELECT key, size, run, min(s) AS s, max(s) + 4 AS t FROM g GROUP BY key, size, run),
+t AS (SELECT key, size, count(*) > 20 OR sum(t - s) >= 0.5 * size AS whole FROM c GROUP BY key, size)
+SELECT c.key, c.s::BIGINT AS start, c.t::BIGINT AS "end" FROM c JOIN t ON c.key = t.key WHERE NOT whole UNION ALL SELECT key, 0, size FROM t WHERE whole""")
+def mat18(spark, sf):
+    docs = _docs(spark, sf)
+    hits = _hit_offsets(docs, "tion").select("key", F.col("offset").alias("start"), (F.col("offset") + 4).alias("end"))
+    return coalesce_ranges(hits, docs.select("key", F.octet_length("text").cast("long").alias("size")), gap=64, most=20, key="key")
 
 
 @query("mat17_line_of_offset", f"WITH {_DOCS} SELECT key, strlen(string_split(text, 'Licensed')[1])::BIGINT AS \"offset\", (len(string_split(string_split(text, 'Licensed')[1], chr(10))))::BIGINT AS line FROM docs WHERE contains(text, 'Licensed')")
 def mat17(spark, sf):
     hits = _hit_offsets(_docs(spark, sf), "Licensed").select("key", "offset")
     blocks = decode_corpus(_corpus(spark, sf), block=1024).where("display_key is not null").select(F.col("display_key").alias("key"), "first_line", "start", "bytes")
-    held = blocks.join(hits, "key").where((F.col("offset") >= F.col("start")) & (F.col("offset") < F.col("start") + F.octet_length("bytes")))
-    head = F.substring("bytes", F.lit(1), (F.col("offset") - F.col("start")).cast("int")).cast("string")
-    return held.select("key", "offset", (F.col("first_line") + F.size(F.split(head, "\n", -1))).cast("long").alias("line"))
+    return line_of_offset(blocks, hits)
 
 
 # ---------------------------------------------------------------- a stored index
@@ -350,7 +395,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 def _fresh(spark: SparkSession) -> str:
     """A new folder that all executors share, deleted when the interpreter ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     path = f"{root.rstrip('/')}/delve-index-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
@@ -406,6 +455,34 @@ def e2e_scoped(spark, sf):
     return search(_indexed(spark, sf), compile_patterns(["[a-z]tion"]), Scope(target="docs", key_prefix="docs/src1/"), "count_lines")
 
 
+def _e2e(name: str, pattern: str, where: str) -> None:
+    program = compile_patterns([pattern])
+    query(name, f"WITH {_LINES} SELECT key, line, text FROM lines WHERE {where}")(lambda spark, sf: search(_indexed(spark, sf), program).select("key", "line", "text"))
+
+
+_e2e("e2e_inline_flag", "(?i)LICENSED", "regexp_matches(text, '[Ll][Ii][Cc][Ee][Nn][Ss][Ee][Dd]')")
+_e2e("e2e_flag_of_a_group", "(?i:LICENSED) under", "regexp_matches(text, '[Ll][Ii][Cc][Ee][Nn][Ss][Ee][Dd] under')")
+_e2e("e2e_property", r"^\p{Lu}\p{Ll}{15,}[^\p{L}]", r"regexp_matches(text, '^\p{Lu}\p{Ll}{15,}[^\p{L}]')")
+_e2e("e2e_posix_class", "[[:upper:]][[:lower:]]{7} [[:lower:]]+ [[:upper:]]{2}", "regexp_matches(text, '[[:upper:]][[:lower:]]{7} [[:lower:]]+ [[:upper:]]{2}')")
+_e2e("e2e_code_point", r"\x{4C}icense[d]", "contains(text, 'Licensed')")
+
+
+@query("flt09_live_docs", f"WITH {_DOCS} SELECT key FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def flt09(spark, sf):
+    """Documents of an index after those with a toxic label left the corpus: the rest are live."""
+    root, d = _fresh(spark), _t(spark, sf, "documents")
+    update_index(spark, root, _corpus(spark, sf), strategy="trigram")
+    left = d.join(_t(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+    update_index(spark, root, table_corpus(left, document_keys(left), left["text"]))
+    return Index(spark, root).table("docs").select(F.col("display_key").alias("key"))
+
+
+@query("mat19_search_stats", f"WITH {_DOCS} SELECT sum((contains(text, 'Lic') AND contains(text, 'ice') AND contains(text, 'cen') AND contains(text, 'ens') AND contains(text, 'nse') AND contains(text, 'sed'))::INT)::BIGINT AS candidates, count(*) AS total, sum(contains(text, 'Licensed')::INT)::BIGINT AS hits FROM docs")
+def mat19(spark, sf):
+    stats = search_stats(_indexed(spark, sf), compile_patterns(["Licensed"]))
+    return spark.createDataFrame([(stats["candidates"], stats["total"], stats["hits"])], "candidates long, total long, hits long")
+
+
 _CHURN = """WITH docs AS (
   SELECT 'docs/' || source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS key,
          CASE WHEN doc_id % 10 = 3 THEN 'CHANGED' || chr(10) ELSE '' END || coalesce(text, '') AS text FROM documents WHERE doc_id % 10 <> 7)"""
@@ -473,7 +550,8 @@ def snk08(spark, sf):
     return clips.select(F.concat("key", F.lit(":"), F.col("line").cast("string"), F.lit(":"), mark("clipped_left"), F.decode("excerpt", "UTF-8"), mark("clipped_right")).alias("value"))
 
 
-@query("snk11_stats")
+@query("snk11_stats", f"""WITH {_DOCS}, c AS (SELECT text, contains(text, 'Lic') AND contains(text, 'ice') AND contains(text, 'cen') AND contains(text, 'ens') AND contains(text, 'nse') AND contains(text, 'sed') AS c FROM docs)
+SELECT format('{{:,}} hits, {{:,}} candidates of {{:,}} documents, {{:.1f}} MiB verified, 0 excluded', sum(contains(text, 'Licensed')::INT)::BIGINT, sum(c::INT)::BIGINT, count(*), sum(CASE WHEN c THEN strlen(text) ELSE 0 END) / 1048576.0) AS line FROM c""")
 def snk11(spark, sf):
     return spark.createDataFrame([(render.stats_line(search_stats(_indexed(spark, sf), compile_patterns(["Licensed"]))),)], "line string")
 

@@ -28,9 +28,28 @@ def list_objects(spark: SparkSession, root: str, prefix: str = "", exclude: str
     if prefix:
         folder = prefix if prefix.endswith("/") else f"{prefix}/"
         out = out.where((F.col("key") == prefix) | F.col("key").startswith(folder))
-    if exclude:
-        out = out.where(~F.col("key").startswith(exclude))
-    return out
+    return outside(out, exclude) if exclude else out
+
+
+def outside(rows: DataFrame, namespace: str) -> DataFrame:
+    """Objects whose keys do not lie in ``namespace``, where an index keeps its own."""
+    return rows.where(~F.col("key").startswith(namespace))
+
+
+def listed(corpus: DataFrame, listing: DataFrame) -> DataFrame:
+    """The objects that the listing names."""
+    return corpus.join(listing.select("key"), "key", "left_semi")
+
+
+def vanished(listing: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Listed objects that are gone."""
+    return listing.join(corpus.select("key"), "key", "left_anti")
+
+
+def stale(listing: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(key) of objects whose version is no longer the listed one."""
+    old = listing.select("key", F.col("version").alias("listed"))
+    return corpus.join(old, "key").where(F.col("version") != F.col("listed")).select("key")
 
 
 def relative_key(path: Column, root: str) -> Column:
@@ -47,7 +66,7 @@ def read_corpus(spark: SparkSession, root: str, listing: DataFrame | None = None
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root.rstrip("/"))
     rows = files.select(relative_key(F.col("path"), root.rstrip("/")).alias("key"), F.col("length").alias("encoded_size"), "content")
     if listing is not None:
-        rows = rows.join(listing.select("key"), "key", "left_semi")
+        rows = listed(rows, listing)
     return rows.select("key", F.sha2("content", 256).alias("version"), "encoded_size", "content")
 
 
@@ -84,10 +103,9 @@ def memory_corpus(spark: SparkSession, objects: dict[str, bytes]) -> DataFrame:
 
 def check_fresh(listing: DataFrame, corpus: DataFrame) -> None:
     """Raise if an object's version is no longer the listed one."""
-    old = listing.select("key", F.col("version").alias("listed"))
-    stale = corpus.join(old, "key").where(F.col("version") != F.col("listed")).select("key").first()
-    if stale:
-        raise StaleSource(f"{stale['key']} changed while it was read")
+    found = stale(listing, corpus).first()
+    if found:
+        raise StaleSource(f"{found['key']} changed while it was read")
 
 
 def table_corpus(table: DataFrame, key: Column, text: Column) -> DataFrame:
