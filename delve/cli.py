@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from delve.functions.patterns import PatternError, compile_patterns
 from delve.operators import render
-from delve.operators.index import Index, update_index
+from delve.operators.index import Index, IndexChanged, update_index
 from delve.operators.scope import Scope, parse_instant
 from delve.operators.search import list_files, search, search_stats
 from delve.sources.corpus import list_objects, read_objects
@@ -32,14 +34,54 @@ def discover(spark: SparkSession, target: str, name: str = ".delve") -> tuple[st
     return None
 
 
+def remember(file: str | Path, target: str, index: str) -> None:
+    """Note where the index of a target lies that is not below it."""
+    places = recalled(file)
+    if places.get(target) != index:
+        Path(file).parent.mkdir(parents=True, exist_ok=True)
+        Path(file).write_text(json.dumps({**places, target: index}, indent=1, sort_keys=True))
+
+
+def recalled(file: str | Path) -> dict[str, str]:
+    """Index folders by target; a file that is missing or damaged remembers nothing."""
+    try:
+        places = json.loads(Path(file).read_text())
+    except (OSError, ValueError):
+        return {}
+    return places if isinstance(places, dict) else {}
+
+
+def recall(file: str | Path, target: str) -> tuple[str, str] | None:
+    """(index folder, folder it indexes) of the nearest remembered parent of the target."""
+    places = recalled(file)
+    return next(((places[p], p) for p in parent_prefixes(target) if p in places), None)
+
+
+def consistent(open_index: Callable[[], Index], produce: Callable[[Index], Iterator[str]]) -> Iterator[str]:
+    """What ``produce`` yields of one generation: if a newer one takes its files away, start again, but not once lines are out."""
+    for attempt in (0, 1):
+        index, out = open_index(), 0
+        try:
+            for line in produce(index):
+                out += 1
+                yield line
+            return
+        except Exception as e:
+            if not index.changed():
+                raise
+            if out or attempt:
+                raise IndexChanged(f"generation {index.manifest.generation} was replaced during the search") from e
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="delve")
+    p.add_argument("--locations", default=str(Path.home() / ".delve" / "locations.json"), help="where indexes elsewhere are remembered")
     sub = p.add_subparsers(dest="command", required=True)
     i = sub.add_parser("index")
     i.add_argument("target")
     i.add_argument("--index")
     i.add_argument("--strategy", choices=["auto", "trigram", "sparse"], default="auto")
-    for flag in ("--rebuild", "--purge-deleted", "--watch", "--json"):
+    for flag in ("--rebuild", "--purge-deleted", "--watch", "--json", "--progress"):
         i.add_argument(flag, action="store_true")
     i.add_argument("--interval", type=float, default=60)
     i.add_argument("--cycles", type=int, help=argparse.SUPPRESS)
@@ -69,14 +111,19 @@ def run(spark: SparkSession, argv: list[str], now: datetime | None = None) -> It
         where = args.index or f"{root}/.delve"
         strategy = None if args.strategy == "auto" else args.strategy
 
+        if args.index:
+            remember(args.locations, root, args.index)
+        events: list[str] = []
+        progress = (lambda event: events.append(json.dumps(event))) if args.progress else None
+
         def once(rebuild: bool) -> dict:
             listing = list_objects(spark, root, exclude=".delve/")
-            return update_index(spark, where, None, root, strategy, rebuild, args.purge_deleted, listing=listing, fetch=lambda wanted: read_objects(spark, root, wanted))
+            return update_index(spark, where, None, root, strategy, rebuild, args.purge_deleted, listing=listing, fetch=lambda wanted: read_objects(spark, root, wanted), progress=progress)
 
-        if args.watch:
-            yield from watch(once, args.interval, rebuild=args.rebuild, cycles=args.cycles)
-        else:
-            yield from list(watch(once, 0, rebuild=args.rebuild, cycles=1))[:1]
+        for line in watch(once, args.interval, rebuild=args.rebuild, cycles=args.cycles) if args.watch else list(watch(once, 0, rebuild=args.rebuild, cycles=1))[:1]:
+            yield from events
+            events.clear()
+            yield line
         return
     targets = list(args.words)
     patterns = list(args.regexp)
@@ -85,10 +132,13 @@ def run(spark: SparkSession, argv: list[str], now: datetime | None = None) -> It
     if len(targets) != 1:
         raise SystemExit("give a pattern and one target")
     target = targets[0].rstrip("/")
-    found = (args.index, target) if args.index else discover(spark, target)
+    found = (args.index, target) if args.index else discover(spark, target) or recall(args.locations, target)
     if not found:
         raise SystemExit(f"no index above {target}")
-    index = Index(spark, found[0])
+    yield from consistent(lambda: Index(spark, found[0]), lambda index: _search(index, args, target, patterns, now))
+
+
+def _search(index: Index, args: argparse.Namespace, target: str, patterns: list[str], now: datetime) -> Iterator[str]:
     inside = target.removeprefix(index.manifest.source).lstrip("/")
     bound = lambda x, until=False: parse_instant(x, now, until) if x else None
     scope = Scope(inside, args.key_prefix, args.key_regex, tuple(args.glob), bound(args.since), bound(args.until, True))

@@ -107,6 +107,55 @@ class Program:
         return any(_has_text_anchor(t) for t in self.trees)
 
 
+def literal_runs(tree: P.SubPattern) -> list[str]:
+    """Texts that every match holds: runs of literals on the pattern's top level."""
+    runs = [""]
+    for op, arg in tree:
+        if op is C.LITERAL:
+            runs[-1] += chr(arg)
+        else:
+            runs.append("")
+    return [r for r in runs if r]
+
+
+def required_texts(program: Program) -> list[str] | None:
+    """One text for each pattern, of which every match holds its own; none if some pattern has no such text."""
+    if program.insensitive:
+        return None
+    longest = [max(literal_runs(t), key=len, default="") for t in program.trees]
+    return longest if all(longest) else None
+
+
+def _alternatives(tree: P.SubPattern, most: int = 64) -> list[str] | None:
+    """All texts that the tree matches, if it has no class, repetition, anchor or change of case."""
+    out = [""]
+    for op, arg in tree:
+        if op is C.LITERAL:
+            more = [chr(arg)]
+        elif op is C.IN and all(kind is C.LITERAL for kind, _ in arg):
+            more = [chr(value) for _, value in arg]
+        elif op is C.SUBPATTERN and not arg[1] | arg[2]:
+            more = _alternatives(arg[3], most)
+        elif op is C.BRANCH:
+            parts = [_alternatives(t, most) for t in arg[1]]
+            more = None if None in parts else [x for p in parts for x in p]
+        else:
+            return None
+        if more is None or len(out) * len(more) > most:
+            return None
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def plain_texts(program: Program) -> list[str] | None:
+    """The patterns as a few texts, if they are nothing else."""
+    if program.insensitive or program.word:
+        return None
+    parts = [_alternatives(t) for t in program.trees]
+    texts = None if None in parts else [x for p in parts for x in p]
+    return texts if texts and all(texts) else None
+
+
 def _has_text_anchor(tree: P.SubPattern) -> bool:
     return any((op is C.AT and arg in (C.AT_BEGINNING_STRING, C.AT_END_STRING)) or any(map(_has_text_anchor, _children(op, arg))) for op, arg in tree)
 
@@ -144,8 +193,9 @@ def compile_patterns(patterns: list[str], fixed: bool = False, word: bool = Fals
 _LONGER = {"k": 3, "s": 2, "i": 2}
 
 
-def _has_look(tree: P.SubPattern) -> bool:
-    return any(op is C.AT or any(map(_has_look, _children(op, arg))) for op, arg in tree)
+def looks(tree: P.SubPattern) -> bool:
+    """The pattern has an anchor or a boundary."""
+    return any(op is C.AT or any(map(looks, _children(op, arg))) for op, arg in tree)
 
 
 def _longest(tree: P.SubPattern, insensitive: bool) -> int | None:
@@ -179,7 +229,7 @@ def _longest(tree: P.SubPattern, insensitive: bool) -> int | None:
 
 def max_length(tree: P.SubPattern, insensitive: bool = False) -> int | None:
     """Longest match in bytes, where the pattern looks at nothing around it and the length is bounded and above 0."""
-    return None if _has_look(tree) else _longest(tree, insensitive) or None
+    return None if looks(tree) else _longest(tree, insensitive) or None
 
 
 def search_extent(tree: P.SubPattern, insensitive: bool = False) -> tuple[str, int | None]:

@@ -39,6 +39,17 @@ def gram_counts(postings: DataFrame, grams: set[bytes]) -> dict[bytes, int]:
     return {codes[r["gram"]]: r["n"] for r in rows}
 
 
+def stored_counts(table: DataFrame, grams: set[bytes]) -> dict[bytes, int]:
+    """The same from the counts (gram, n) that segments keep."""
+    codes = {pack(g): g for g in grams}
+    if not codes:
+        return {}
+    out: dict[bytes, int] = {}
+    for r in table.where(any_of(F.col("gram"), sorted(codes))).collect():  # a row a gram and segment
+        out[codes[r["gram"]]] = out.get(codes[r["gram"]], 0) + r["n"]
+    return out
+
+
 def holds(query: Query, grams: Column) -> Column:
     """Whether a set of gram codes satisfies the query."""
     if query.kind in ("all", "none"):

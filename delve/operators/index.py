@@ -1,6 +1,6 @@
 """The index: immutable segments of Parquet tables under a generation manifest.
 
-``seg-<id>/`` holds sources, docs, content and postings; ``dead-<id>/`` the sources of older segments that
+``seg-<id>/`` holds sources, docs, content, postings and grams (how many places each has); ``dead-<id>/`` the sources of older segments that
 a generation dropped. Content lies in folders of neighbouring keys (``bucket=<n>``), each of about BUCKET_BYTES;
 docs name the bucket of a document, so a search opens the folders of its candidates only. ``gen-<n>.json`` names the live segments; the highest is the root. A writer
 publishes by creating the next one exclusively, so of two writers one fails and deletes nothing.
@@ -27,6 +27,8 @@ REPACK, MAX_SEGMENTS, MERGE_DOCS, MERGE_BYTES = 0.25, 8, 4_000_000, 256 << 20
 FORMAT = 2
 #: Bytes of a content folder, and how many a segment has at most.
 BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 4_096
+#: Bytes of a row group: what a lookup reads at least, and what a task of a scan has at least.
+ROW_GROUP = 8 << 20
 
 
 class IndexConflict(RuntimeError):
@@ -133,8 +135,6 @@ def pick_merge(segments: list[dict], max_segments: int = MAX_SEGMENTS) -> tuple[
 class Index:
     """A reader pinned to one generation."""
 
-    TABLES = ("sources", "docs", "content", "postings")
-
     def __init__(self, spark: SparkSession, root: str, source: str | None = None) -> None:
         self.spark, self.store = spark, _Store(spark, root)
         self.manifest = load_manifest(self.store)
@@ -161,7 +161,7 @@ class Index:
         df = self._read(table, chosen)
         if df is None:
             df = self.spark.createDataFrame([], SCHEMAS[table])
-        if table == "postings":  # of dead documents too: readers join candidates with docs
+        if table in ("postings", "grams"):  # of dead documents too: readers join candidates with docs
             return df
         return df.join(F.broadcast(self.dead()) if self._few_dead() else self.dead(), ["seg", "source_key"], "left_anti") if self.manifest.dead else df
 
@@ -183,6 +183,7 @@ SCHEMAS = {
     "docs": "seg string, source_key string, doc_id long, display_key string, member_path string, decoded_size long, max_line_len long, blocks int, block_newlines array<int>, bucket int",
     "content": "seg string, source_key string, doc_id long, key string, block int, first_line long, start long, bytes binary, bucket int",
     "postings": "gram long, doc_id long, block int",
+    "grams": "gram long, n long",
 }
 
 
@@ -201,7 +202,13 @@ def _write_content(content: DataFrame, base: str) -> None:
     weight = content.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(1, min(MAX_BUCKETS, -(-weight // BUCKET_BYTES)))
     dealt = content.repartitionByRange(buckets, "key").withColumn("bucket", F.spark_partition_id()).sortWithinPartitions("bucket", "key", "block")
-    dealt.write.partitionBy("bucket").parquet(f"{base}/content")
+    dealt.write.partitionBy("bucket").option("parquet.block.size", ROW_GROUP).parquet(f"{base}/content")
+
+
+def _write_postings(postings: DataFrame, base: str) -> None:
+    postings.select("gram", "doc_id", "block").repartitionByRange("gram").sortWithinPartitions("gram", "doc_id", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/postings")
+    counts = postings.sparkSession.read.schema(SCHEMAS["postings"]).parquet(f"{base}/postings").groupBy("gram").agg(F.count("*").alias("n"))
+    counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{base}/grams")
 
 
 def _write_docs(docs: DataFrame, base: str) -> None:
@@ -231,8 +238,7 @@ def _write_segment(spark: SparkSession, store: _Store, corpus: DataFrame, strate
         gone = lost.select(F.lit(seg).alias("seg"), F.col("key").alias("source_key"), F.col("version"), F.lit(0).cast("long").alias("encoded_size"), F.lit(None).cast("string").alias("encoding"), F.lit(0).cast("long").alias("doc_count"), F.lit(False).alias("failed"), F.lit(True).alias("retry"))
         sources = sources.unionByName(gone)
     sources.repartitionByRange("source_key").write.parquet(f"{base}/sources")
-    grams = block_grams(content, strategy).select("gram", "doc_id", "block")
-    grams.repartitionByRange("gram").sortWithinPartitions("gram", "doc_id", "block").write.parquet(f"{base}/postings")
+    _write_postings(block_grams(content, strategy), base)
     store.delete(f"tmp-{seg}")
     return _describe(spark, store, seg)
 
@@ -279,8 +285,7 @@ def _rewrite(index: Index, segments: list[dict]) -> dict | None:
     docs = live("docs").drop("bucket")
     _write_docs(docs, base)
     live("sources").repartitionByRange("source_key").sortWithinPartitions("source_key").write.parquet(f"{base}/sources")
-    postings = index.table("postings", segments=segments).join(docs.select("doc_id"), "doc_id", "left_semi").distinct().select("gram", "doc_id", "block")
-    postings.repartitionByRange("gram").sortWithinPartitions("gram", "doc_id", "block").write.parquet(f"{base}/postings")
+    _write_postings(index.table("postings", segments=segments).join(docs.select("doc_id"), "doc_id", "left_semi").distinct(), base)
     return _describe(index.spark, index.store, seg)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from delve.functions.patterns import Program, find_spans
+from delve.functions.patterns import Program, find_spans, looks, plain_texts, required_texts
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
@@ -29,8 +31,25 @@ def plain_lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("k
     return docs.select(*keep, F.posexplode(parts).alias("pos", "text")).select(*keep, (F.col("pos") + 1).cast("long").alias("line"), "text")
 
 
+def _holds(text: Column, texts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (text.contains(F.lit(t)) for t in texts))
+
+
 def line_matches(text: Column, program: Program) -> Column:
-    return text.rlike(program.java)
+    """Whether a line matches; the engine of regular expressions is asked only where a text that matches hold is there."""
+    if texts := plain_texts(program):
+        return _holds(text, texts)
+    texts = required_texts(program)
+    return _holds(text, texts) & text.rlike(program.java) if texts else text.rlike(program.java)
+
+
+def may_match(text: Column, program: Program) -> Column:
+    """Whether some line of a text could match: exact unless the pattern could take a line feed."""
+    if texts := plain_texts(program):
+        return _holds(text, texts)
+    whole = text.rlike("(?m)" + program.java)
+    texts = required_texts(program)
+    return _holds(text, texts) & whole if texts else whole
 
 
 def submatches(text: Column, program: Program) -> Column:
@@ -51,7 +70,7 @@ def submatches(text: Column, program: Program) -> Column:
 
 def matching_lines(docs: DataFrame, program: Program, text: str = "text", keep: tuple[str, ...] = ("key",), spans: bool = False, offsets: bool = False) -> DataFrame:
     """Lines with a match. The whole text is tested first, so documents without one are never split."""
-    some = docs if program.can_be_empty or program.whole_document else docs.where(F.col(text).rlike("(?m)" + program.java))
+    some = docs if program.can_be_empty or program.whole_document else docs.where(may_match(F.col(text), program))
     lines = (explode_lines if offsets else plain_lines)(some, text, keep).where(line_matches(F.col("text"), program))
     return lines.withColumn("submatches", submatches(F.col("text"), program)) if spans else lines
 
@@ -70,15 +89,20 @@ def with_context(lines: DataFrame, hit: Column, before: int, after: int, max_cou
     return marked.withColumn("near", near).where("near = 1").withColumn("kind", F.when(F.col("capped"), "match").otherwise("context")).drop("near", "hit", "capped")
 
 
+def matches_any_line(program: Program) -> bool:
+    """The patterns match empty text anywhere, so each document with a line has a match."""
+    return any(t.getwidth()[0] == 0 and not looks(t) for t in program.trees) and not program.word
+
+
 def document_hits(docs: DataFrame, program: Program, text: str = "text") -> DataFrame:
     """Documents with a matching line: tested on the whole text, without splitting it, where that is the same."""
-    if program.can_be_empty and not program.whole_document and not any(r.startswith("(?<!") for r in program.java_each):
+    if matches_any_line(program):
         return docs.where(F.octet_length(text) > 0)
     if program.crosses_lines or program.whole_document or program.can_be_empty:
         parts = F.split(F.col(text), "\n", -1)
         parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
         return docs.where(F.exists(parts, lambda line: line_matches(line, program)))
-    return docs.where(F.col(text).rlike("(?m)" + program.java))
+    return docs.where(may_match(F.col(text), program))
 
 
 def count_lines(docs: DataFrame, program: Program, text: str = "text", keep: tuple[str, ...] = ("key",), max_count: int | None = None) -> DataFrame:

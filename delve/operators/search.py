@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from delve.functions.patterns import Program, plan_kinds
 from delve.plans.gramplan import plan, simplify
 
-from .candidates import any_of, candidate_blocks, gram_counts, most_places
+from .candidates import any_of, candidate_blocks, most_places, stored_counts
 from .index import Index
-from .lines import document_hits, first_lines, match_windows, submatches, with_context
+from .lines import document_hits, first_lines, line_matches, match_windows, matches_any_line, may_match, submatches, with_context
 from .scope import Scope, candidate_prefix
 
 KEEP = ("key",)
 
 
-#: Candidates that the driver takes, so that only their folders are opened; and bytes of a broadcast table of candidates.
-FEW, BROADCAST_BYTES, PLACE_BYTES = 20_000, 32 << 20, 32
+#: Candidates that the driver takes, so that only their folders are opened; bytes of a broadcast table of candidates; share of all
+#: blocks from which on finding the candidates costs more than it saves.
+FEW, BROADCAST_BYTES, PLACE_BYTES, SHARE = 2_000, 32 << 20, 32, 0.2
 
 
 @dataclass
@@ -35,9 +36,9 @@ class Candidates:
 def candidates(index: Index, program: Program, scope: Scope, whole_documents: bool = False) -> Candidates:
     """Blocks that the gram queries admit. A query on an absent gram reads no content at all.
 
-    The counts of the grams bound the number of candidates beforehand. FEW of them go through the driver, and
-    only the content folders that hold them are opened. More are broadcast, if their bound fits BROADCAST_BYTES. If
-    not, the grams hardly narrow the search, and all content is verified: the regular expression decides in any case.
+    The stored counts of the grams bound the number of candidates beforehand. FEW of them go through the driver, and
+    only the content folders that hold them are opened. More are broadcast, if their bound fits BROADCAST_BYTES and is below
+    SHARE of all blocks. If not, the grams hardly narrow the search, and all content is verified: the regular expression decides in any case.
 
     Blocks end at line ends and no match crosses a line, so each block is judged by itself; with
     ``whole_documents`` all blocks of a document with a candidate come along.
@@ -46,7 +47,7 @@ def candidates(index: Index, program: Program, scope: Scope, whole_documents: bo
     postings = index.table("postings", prefix)
     queries = plan(program, index.manifest.strategy)
     grams = set().union(*(q.grams() for q in queries))
-    counts = gram_counts(postings, grams)
+    counts = stored_counts(index.table("grams", prefix), grams)
     space = max(1, sum(s["blocks"] for s in index.manifest.segments))  # dead ones too: a gram that is in all live blocks is just not dropped
     queries = [simplify(q, counts, space, 64 if index.manifest.strategy == "trigram" else 8) for q in queries]
     content = index.table("content", prefix).where(scope.admits(F.col("key")))
@@ -67,7 +68,7 @@ def candidates(index: Index, program: Program, scope: Scope, whole_documents: bo
         near = content.where(any_of(F.col("bucket"), buckets))
         near = near.where(any_of(F.col("key"), keys)) if len(keys) <= 100 else near
         return Candidates(near.join(F.broadcast(chosen.select(*on).distinct()), on, "left_semi"), chosen, queries, not rows)
-    if most * PLACE_BYTES <= BROADCAST_BYTES:
+    if most * PLACE_BYTES <= BROADCAST_BYTES and most < SHARE * space:
         return Candidates(content.join(F.broadcast(found.select(*on).distinct()), on, "left_semi"), places.select("doc_id", "block"), queries, False)
     return Candidates(content, places.select("doc_id", "block"), queries, False)
 
@@ -93,13 +94,17 @@ def search(index: Index, program: Program, scope: Scope | None = None, detail: s
     """
     scope = scope or Scope()
     context = detail == "lines" and (before or after)
+    if detail == "documents" and max_count != 0 and matches_any_line(program):  # content need not be read
+        docs = index.table("docs", candidate_prefix(scope.target, scope.key_prefix)).where("decoded_size > 0").select(F.col("display_key").alias("key"))
+        return docs.where(scope.admits(F.col("key")))
     found = candidates(index, program, scope, bool(context) or program.whole_document)
     blocks = found.blocks
     if detail == "documents" and max_count != 0:
         hits = document_hits(blocks.withColumn("text", F.col("bytes").cast("string")), program)
-        return hits.select("key").distinct()
-    lines = block_lines(blocks if context or program.can_be_empty or program.whole_document else blocks.where(F.col("bytes").cast("string").rlike("(?m)" + program.java)))
-    hit = F.col("text").rlike(program.java)
+        one_block = all(s["blocks"] == s["docs"] for s in index.manifest.segments)
+        return hits.select("key") if one_block else hits.select("key").distinct()
+    lines = block_lines(blocks if context or program.can_be_empty or program.whole_document else blocks.where(may_match(F.col("bytes").cast("string"), program)))
+    hit = line_matches(F.col("text"), program)
     if max_count == 0:
         lines = lines.limit(0)
     if context:
@@ -134,3 +139,15 @@ def search_stats(index: Index, program: Program, scope: Scope | None = None) ->
     n = held.agg(F.countDistinct("key"), F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()
     hits = search(index, program, scope, "documents").count()
     return {"candidates": n[0], "total": index.table("docs").count(), "hits": hits, "bytes": n[1], "excluded": index.excluded(), **plan_kinds(program)}
+
+
+def search_collect(index: Index, program: Program, scope: Scope | None = None) -> tuple[list, dict]:
+    """All events, by key and line, and the figures of the search; for results that the driver can hold."""
+    return search(index, program, scope).orderBy("key", "line").collect(), search_stats(index, program, scope)
+
+
+def search_null(index: Index, program: Program, scope: Scope | None = None, detail: str = "documents") -> int:
+    """Run a search and keep nothing but the number of its results."""
+    seen = Observation()
+    search(index, program, scope, detail).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    return seen.get["n"]

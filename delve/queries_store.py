@@ -8,6 +8,7 @@ import io
 import lzma
 import struct
 import tarfile
+import time
 import uuid
 import zipfile
 import zlib
@@ -29,7 +30,7 @@ from delve.operators import lines as L
 from delve.operators import render
 from delve.operators.index import MERGE_BYTES, MERGE_DOCS, Index, diff_listing, pick_merge, update_index
 from delve.operators.scope import Scope, candidate_prefix, parse_instant, prefix_range
-from delve.operators.search import list_files, search, search_stats
+from delve.operators.search import list_files, search, search_collect, search_null, search_stats
 from delve.plans.gramplan import plan, simplify
 from delve.queries import _DOCS, _LINES, _candidates, _docs, _hit_offsets, _postings, _t, query
 from delve.operators.regions import chunked_hits, coalesce_ranges, fetch_documents, line_of_offset, whole_lines
@@ -584,3 +585,56 @@ def aux13(spark, sf):
     names = F.array(*(F.lit(token) for _, token in PLANTED))
     found = L.pattern_ids(L.matching_lines(docs, program), program).select("key", "pattern").distinct()
     return found.groupBy("pattern").agg(F.count("*").alias("n")).select(F.element_at(names, F.col("pattern") + 1).alias("token"), "n")
+
+
+def zipf_corpus(spark: SparkSession, n: int, words: int = 200, vocabulary: int = 10_000) -> DataFrame:
+    """(key, text): ``n`` documents of words whose k-th most frequent is about k times as rare as the first."""
+
+    def word(doc: Column, k: Column) -> Column:
+        u = F.conv(F.substring(F.md5(F.concat_ws(":", doc.cast("string"), k.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+        return F.concat(F.lit("w"), F.floor(F.pow(F.lit(float(vocabulary)), u)).cast("string"))
+
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda k: word(F.col("id"), k)), " ")
+    return spark.range(n).select(F.format_string("prose-%08d.txt", "id").alias("key"), text.alias("text"))
+
+
+@query("aux13_zipf_corpus", "SELECT 'w' || floor(pow(10000.0, ('0x' || substr(md5(d || ':' || k), 1, 8))::BIGINT / 4294967296.0))::BIGINT AS word, count(*) AS n FROM range(500) a(d), range(1, 201) b(k) GROUP BY word")
+def aux13_zipf(spark, sf):
+    return zipf_corpus(spark, 500).select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("snk09_collected", f"WITH {_LINES} SELECT count(*) AS lines, (SELECT count(DISTINCT key) FROM lines WHERE contains(text, 'Licensed')) AS hits, (SELECT count(DISTINCT key) FROM lines WHERE contains(text, 'Licensed')) AS counted FROM lines WHERE contains(text, 'Licensed')")
+def snk09(spark, sf):
+    index, program = _indexed(spark, sf), compile_patterns(["Licensed"])
+    rows, stats = search_collect(index, program)
+    return spark.createDataFrame([(len(rows), stats["hits"], search_null(index, program))], "lines long, hits long, counted long")
+
+
+@query("snk13_progress", "SELECT * FROM (VALUES ('listed', 1::BIGINT), ('segment', 1), ('published', 1)) v(event, n)")
+def snk13(spark, sf):
+    events: list[dict] = []
+    update_index(spark, _fresh(spark), _corpus(spark, sf), strategy="trigram", progress=events.append)
+    return spark.createDataFrame([(e["event"],) for e in events], "event string").groupBy("event").agg(F.count("*").alias("n"))
+
+
+@query("upd08_bounded_build", "SELECT count(*) AS documents, true AS within FROM documents")
+def upd08(spark, sf):
+    """An addition of more documents than a segment may have: several segments, each within the cap, all documents in them."""
+    root, cap = _fresh(spark), 1 + _t(spark, sf, "documents").count() // 3
+    update_index(spark, root, _corpus(spark, sf), strategy="trigram", doc_cap=cap)
+    index = Index(spark, root)
+    sizes = index.table("docs").groupBy("seg").agg(F.count("*").alias("n"))
+    return sizes.agg(F.sum("n").alias("documents"), ((F.max("n") <= cap) & (F.count("*") > 1)).alias("within"))
+
+
+def churn(spark: SparkSession, root: str, texts: DataFrame, cycles: int, share: int = 100) -> list[dict]:
+    """Reports of update cycles, with their seconds; each deletes one document (key, text) in ``share`` and adds as many. For benchmarks."""
+    out = []
+    numbered = texts.withColumn("nth", F.pmod(F.xxhash64("key"), F.lit(share)))
+    for cycle in range(cycles):
+        gone = F.col("nth") == cycle % share
+        rows = numbered.select(F.when(gone, F.concat("key", F.lit(f".{cycle}"))).otherwise(F.col("key")).alias("key"), "text")
+        corpus = rows.select("key", F.sha2("text", 256).alias("version"), F.octet_length("text").cast("long").alias("encoded_size"), F.col("text").cast("binary").alias("content"))
+        start = time.perf_counter()
+        out.append({**update_index(spark, root, corpus, strategy="trigram"), "seconds": time.perf_counter() - start})
+    return out

@@ -10,12 +10,12 @@ import regex
 from pyspark.sql import functions as F
 
 from delve import cli
-from delve.functions.patterns import compile_patterns, find_iter
+from delve.functions.patterns import compile_patterns, find_iter, plain_texts, required_texts
 from delve.operators.index import Index, IndexChanged, IndexConflict, IndexMismatch, load_manifest, pick_merge, update_index
 from delve.operators.lines import with_context
 from delve.operators.render import exit_code, json_lines, standard_lines
 from delve.operators.scope import Scope, glob_regex, globs_admit, key_time_range, parse_instant
-from delve.operators.search import list_files, search, search_stats
+from delve.operators.search import list_files, search, search_collect, search_null, search_stats
 from delve.sources.corpus import memory_corpus, scan_documents
 from delve.streaming.watch import watch
 
@@ -136,6 +136,7 @@ def test_only_the_folders_of_candidates_are_read(spark, tmp_path, monkeypatch):
     assert [r["key"] for r in search(reader, program).collect()] == ["k077"]
     for few, broadcast in ((0, 1 << 20), (0, 0)):  # candidates are broadcast; all content is verified
         monkeypatch.setattr(S, "FEW", few)
+        monkeypatch.setattr(S, "SHARE", 2.0)
         monkeypatch.setattr(S, "BROADCAST_BYTES", broadcast)
         assert [r["key"] for r in search(reader, program).collect()] == ["k077"]
         assert search(reader, compile_patterns(["common number 1.$"]), detail="documents").count() == 10
@@ -203,6 +204,39 @@ def test_updates_by_listing_read_what_changed(spark, tmp_path):
     assert [r["key"] for r in C.read_objects(spark, str(folder), gone).collect()] == ["f0.txt"]
 
 
+def test_a_search_starts_again_when_its_generation_goes_and_no_line_is_out():
+    class Fake:
+        def __init__(self, changed):
+            self.manifest, self.changed = type("M", (), {"generation": 1}), lambda: changed
+
+    def broken_at(at):
+        def produce(index):
+            for k in range(3):
+                if k == at and index.changed():
+                    raise OSError("a file is gone")
+                yield str(k)
+
+        return produce
+
+    opened = iter([Fake(True), Fake(False)])
+    assert list(cli.consistent(lambda: next(opened), broken_at(0))) == ["0", "1", "2"]
+    with pytest.raises(IndexChanged):
+        list(cli.consistent(lambda: Fake(True), broken_at(1)))
+    with pytest.raises(IndexChanged):
+        list(cli.consistent(lambda: Fake(True), broken_at(0)))
+
+
+def test_sinks_and_shortcuts(index, spark):
+    reader, objects = index
+    rows, stats = search_collect(reader, compile_patterns(["world"]))
+    assert len(rows) == 4 and stats["hits"] == 3 and search_null(reader, compile_patterns(["world"])) == 3
+    hits = lambda p: {r["key"] for r in search(reader, compile_patterns([p]), detail="documents").collect()}
+    for pattern in ("x*", "^$", "^", r"\bx*", "x*$", "(?i)", "quick|again|zipped", "q(ui|x)ck"):
+        assert hits(pattern) == {k for k, _, _, _ in scan(objects, pattern)}, pattern
+    assert plain_texts(compile_patterns(["a(b|c)d", "e"])) == ["abd", "acd", "e"] and plain_texts(compile_patterns(["a(?i)b"])) is None
+    assert required_texts(compile_patterns(["ab.*cde?"])) == ["ab"] and required_texts(compile_patterns(["(?i)abc"])) is None
+
+
 def test_pick_merge():
     seg = lambda b: {"bytes": b, "docs": 1}
     assert pick_merge([seg(1)] * 3) is None
@@ -258,6 +292,12 @@ def test_cli_and_watch(spark, tmp_path):
     assert run("search", "--files", str(tmp_path)) == ["logs/a.log", "logs/b.log"]
     assert run("search", "-q", "nope", str(tmp_path)) == [] and cli.run.code == 1
     assert run("search", "(", str(tmp_path))[0].startswith("error: invalid pattern") and cli.run.code == 2
+    places = str(tmp_path / "places.json")
+    lines = run("--locations", places, "index", f"{tmp_path}/logs", "--index", f"{tmp_path}/elsewhere", "--strategy", "trigram", "--progress")
+    assert [json.loads(x)["event"] for x in lines] == ["listed", "segment", "published", "indexed"]
+    (tmp_path / ".delve").rename(tmp_path / "away")
+    assert run("--locations", places, "search", "error", f"{tmp_path}/logs") == ["a.log:2:error here"]
+    assert cli.recall(places, f"{tmp_path}/other") is None and cli.recalled(str(tmp_path / "none.json")) == {}
     calls = []
 
     def update(rebuild):
