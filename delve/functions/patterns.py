@@ -15,6 +15,7 @@ from re import _parser as P
 import regex
 
 from .dialect import DialectError, translate
+from .witness import Witness, prove
 
 _HALF = ("(?<!\\w)(?:", ")(?!\\w)")
 
@@ -241,10 +242,17 @@ def search_extent(tree: P.SubPattern, insensitive: bool = False) -> tuple[str, i
     return ("bytes", bound) if bound else ("document" if _has_text_anchor(tree) else "lines", None)
 
 
+def witnesses(program: Program) -> list[Witness | None]:
+    """For each pattern, the few bytes at an end of its matches that match by themselves, if that can be proved."""
+    sure = [not program.word and not re.search(r"\\[pP]", raw) for raw in program.raw]  # the parser knows properties by approximation
+    return [prove(t, program.insensitive) if ok else None for t, ok in zip(program.trees, sure, strict=True)]
+
+
 def plan_kinds(program: Program) -> dict[str, int]:
-    """How many patterns have an exact bound, and how many fall back to lines or whole documents."""
+    """How many patterns have an exact bound, how many fall back to lines or whole documents, and how many of these have a proven witness."""
     kinds = ["lines" if program.word and not _has_text_anchor(t) else search_extent(t, program.insensitive)[0] for t in program.trees]
-    return {"exact": kinds.count("bytes"), "lines": kinds.count("lines"), "documents": kinds.count("document")}
+    proven = sum(k != "bytes" and w is not None for k, w in zip(kinds, witnesses(program), strict=True))
+    return {"exact": kinds.count("bytes"), "lines": kinds.count("lines"), "documents": kinds.count("document"), "proven": proven}
 
 
 def find_iter(program: Program, text: bytes) -> list[tuple[int, int]]:

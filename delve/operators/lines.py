@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from delve.functions.patterns import Program, find_spans, looks, plain_texts, required_texts
+from delve.functions.patterns import Program, find_spans, looks, plain_texts, required_texts, witnesses
+from delve.functions.witness import find_witness
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
@@ -68,6 +69,20 @@ def submatches(text: Column, program: Program) -> Column:
     return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
 
 
+def witness_spans(lines: DataFrame, program: Program) -> DataFrame:
+    """Lines (with ``submatches``, of one pattern) with witness_start and witness_end: the shortest beginning or end of the first match that matches by itself."""
+    witness = witnesses(program)[0] if len(program.trees) == 1 else None
+
+    @F.pandas_udf("start long, end long")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([find_witness(witness, t) for t in texts], columns=["start", "end"])
+
+    first = F.get("submatches", F.lit(0))
+    part = F.substring(F.col("text").cast("binary"), (first["start"] + 1).cast("int"), (first["end"] - first["start"]).cast("int")).cast("string")
+    out = lines.withColumn("found_", found(part))
+    return out.withColumns({"witness_start": first["start"] + F.col("found_.start"), "witness_end": first["start"] + F.col("found_.end")}).drop("found_")
+
+
 def matching_lines(docs: DataFrame, program: Program, text: str = "text", keep: tuple[str, ...] = ("key",), spans: bool = False, offsets: bool = False) -> DataFrame:
     """Lines with a match. The whole text is tested first, so documents without one are never split."""
     some = docs if program.can_be_empty or program.whole_document else docs.where(may_match(F.col(text), program))

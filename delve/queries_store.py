@@ -25,7 +25,7 @@ from pyspark.sql.types import BinaryType
 from pyarrow import orc
 
 from delve.functions.grams import document_grams
-from delve.functions.patterns import compile_patterns, max_length, plan_kinds, search_extent
+from delve.functions.patterns import compile_patterns, max_length, plan_kinds, search_extent, witnesses
 from delve.operators import lines as L
 from delve.operators import render
 from delve.operators.index import MERGE_BYTES, MERGE_DOCS, Index, diff_listing, pick_merge, update_index
@@ -295,6 +295,32 @@ def pat09(spark, sf):
     return spark.createDataFrame(rows, "pattern string, bound long, extent string, exact int")
 
 
+#: Patterns whose proofs are shown.
+PROOFS = ("foo.*", ".*token", "foo.*bar", "é.*", "(ab|cd)+x*", "a+b", "x*", r"^ab.*")
+
+
+@query("pat11_witness_proofs", "SELECT * FROM (VALUES ('foo.*', 3::BIGINT, 'forward'), ('.*token', 5, 'reverse'), ('foo.*bar', -1, 'none'), ('é.*', 2, 'forward'), ('(ab|cd)+x*', 2, 'forward'), ('a+b', 2, 'reverse'), ('x*', -1, 'none'), ('^ab.*', -1, 'none')) v(pattern, bytes, direction)")
+def pat11(spark, sf):
+    found = [(p, witnesses(compile_patterns([p]))[0]) for p in PROOFS]
+    return spark.createDataFrame([(p, w.bytes if w else -1, ("forward" if w.forward else "reverse") if w else "none") for p, w in found], "pattern string, bytes long, direction string")
+
+
+def _witnessed(spark, sf, pattern: str) -> DataFrame:
+    program = compile_patterns([pattern])
+    found = L.witness_spans(L.matching_lines(_docs(spark, sf), program, spans=True), program)
+    return found.select("key", "line", F.col("witness_start").alias("start"), F.col("witness_end").alias("end"))
+
+
+@query("pat12_witness_ahead", f"WITH {_LINES} SELECT key, line, strlen(string_split(text, 'Licensed')[1])::BIGINT AS start, (strlen(string_split(text, 'Licensed')[1]) + 8)::BIGINT AS \"end\" FROM lines WHERE contains(text, 'Licensed')")
+def pat12_ahead(spark, sf):
+    return _witnessed(spark, sf, "Licensed.*")
+
+
+@query("pat12_witness_behind", f"WITH {_LINES}, t AS (SELECT key, line, strlen(text) - strlen(string_split(text, 'tion')[-1]) AS e FROM lines WHERE contains(text, 'tion')) SELECT key, line, (e - 4)::BIGINT AS start, e::BIGINT AS \"end\" FROM t")
+def pat12_behind(spark, sf):
+    return _witnessed(spark, sf, ".*tion")
+
+
 @query("pat13_find_iter", f"WITH {_DOCS} SELECT key, len(regexp_extract_all(text, '[a-z]ing'))::BIGINT AS n FROM docs")
 def pat13(spark, sf):
     return _docs(spark, sf).select("key", F.size(L.submatches(F.col("text"), compile_patterns(["[a-z]ing"]))).cast("long").alias("n"))

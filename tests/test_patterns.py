@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -5,7 +6,8 @@ import regex
 
 import __spark_entry__ as entry
 from delve.functions.grams import covering_grams, pack, sparse_grams, trigrams_of
-from delve.functions.patterns import PatternError, compile_patterns, find_iter, plan_kinds, search_extent
+from delve.functions.patterns import PatternError, compile_patterns, find_iter, plan_kinds, search_extent, witnesses
+from delve.functions.witness import find_witness
 from delve.plans.gramplan import ALL, NONE, plan, simplify
 
 
@@ -103,3 +105,31 @@ def test_word_regexp_keeps_every_matching_line(spark, tmp_path):
     word = re.compile(r"(?<![\w\u0301])the(?![\w\u0301])")  # marks are word characters to the engine, not to Python
     want = sorted((f"docs/s/en/{d:08d}.txt", n, x) for d, t, *_ in rows for n, x in enumerate((t or "").split("\n"), 1) if word.search(x))
     assert got == want and {x for *_, x in got} == {lines[k] for k in (0, 1, 2, 3, 4, 13, 15)}
+
+
+def test_witnesses():
+    found = lambda p, **f: witnesses(compile_patterns([p], **f))[0]
+    assert [(w and (w.bytes, w.forward)) for w in map(found, ["foo.*", ".*token", "foo.*bar", "(?i)k.*", "[a-c]*z", r"\p{L}a.*", "^a.*", "x*"])] == [(3, True), (5, False), None, (3, True), (1, False), None, None, None]
+    assert found("ab.*", word=True) is None and plan_kinds(compile_patterns(["abc", "foo.*", "a.*b"])) == {"exact": 1, "lines": 2, "documents": 0, "proven": 1}
+    assert find_witness(found("é+.*"), "ééx") == (0, 2) and find_witness(found(".*é"), "aé") == (1, 3) and find_witness(None, "é") == (0, 2)
+    rng = random.Random(1)
+
+    def pattern(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.35:
+            return rng.choice("ab.c")
+        if kind < 0.6:
+            return pattern(depth - 1) + pattern(depth - 1)
+        return f"(?:{pattern(depth - 1)}|{pattern(depth - 1)})" if kind < 0.75 else f"(?:{pattern(depth - 1)}){rng.choice(['*', '+', '?', '{1,2}'])}"
+
+    seen = 0
+    for _ in range(300):
+        p = pattern(3)
+        witness = found(p)
+        for _ in range(20):
+            text = "".join(rng.choices("abcd", k=rng.randint(0, 8)))
+            if witness and re.fullmatch(p, text):
+                a, b = find_witness(witness, text)
+                assert re.fullmatch(p, text[a:b]) and b - a <= witness.bytes and (a == 0 or b == len(text))
+                seen += 1
+    assert seen > 200
