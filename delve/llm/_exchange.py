@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from ._bytes import buffers
-from ._shared import shuffle_partitions
+from ._shared import shuffle_partitions, trimmed
 
 FLUSH = 1 << 19
 HOT = 64
@@ -148,6 +148,6 @@ def find_shared(df: DataFrame, extract: Extract, meta: pa.Schema, *, extras: boo
             if found.any():
                 yield _report(own[order[found]], marked[found], meta, extras)
 
-    sent = df.mapInArrow(mapper, from_arrow_schema(mid))
+    sent = df.mapInArrow(trimmed(mapper), from_arrow_schema(mid))
     dealt = sent.repartition(shuffle_partitions(df.sparkSession), F.coalesce("part", F.pmod(F.hash("owner"), F.lit(ids))))
-    return dealt.mapInArrow(reducer, from_arrow_schema(out))
+    return dealt.mapInArrow(trimmed(reducer), from_arrow_schema(out))

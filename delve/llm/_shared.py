@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to a Python worker; bounds the worker's memory whatever the partition size.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _written: dict[str, SparkSession] = {}
 
@@ -80,6 +83,22 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trimmed(run: Callable) -> Callable:
+    """A function of Arrow batches whose worker gives the memory of its arrays back when a partition is done; workers live on between tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

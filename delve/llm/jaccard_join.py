@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ._bytes import chunks, set_sums, shingles
 from ._components import connected_components
 from ._exchange import find_shared
-from ._shared import bounded_batches, materialize, release, shuffle_partitions, text_of
+from ._shared import bounded_batches, materialize, release, shuffle_partitions, text_of, trimmed
 
 _META = pa.schema([(c, pa.int64()) for c in ("doc_id", "key", "n", "m", "hi", "lo")])
 _SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
@@ -264,7 +264,7 @@ def _solved(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of regions that fit a task each."""
     run, schema = _solver(percent)
     dealt = members.join(sets.select("node", "tokens"), "node").select("region", "node", "n", "tag", "tokens")
-    return dealt.repartition(shuffle_partitions(members.sparkSession), "region").sortWithinPartitions("region").mapInArrow(run, schema)
+    return dealt.repartition(shuffle_partitions(members.sparkSession), "region").sortWithinPartitions("region").mapInArrow(trimmed(run), schema)
 
 
 def _tagged(rows: DataFrame, found: dict[int, list]) -> DataFrame:
@@ -392,7 +392,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = classes.join(hits, F.col("hi") == F.col("owner"), "left").where(F.coalesce("hits", F.lit(0)) >= F.col("m") - slack(F.col("n"), percent))
     run, schema = _sets(size)
     texts = near.select("rep", "rep_key", "node", "hi", "lo").join(source, F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("rep_key") == F.col("key"))).select("node", "hi", "lo", "text")
-    sets = materialize(texts.mapInArrow(run, schema))
+    sets = materialize(texts.mapInArrow(trimmed(run), schema))
     again = materialize(sets.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node"))  # repeated rows
     if not again.isEmpty():
         sets = materialize(sets.join(again, "node", "left_anti").unionByName(sets.join(again, "node", "left_semi").dropDuplicates(["node"])))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import byte_codes, chunks, hash_of, mix, powers, prefix_hash, prefix_sums, word_codes
 from ._exchange import find_shared
-from ._shared import bounded_batches, materialize, release, shuffle_partitions, text_of
+from ._shared import bounded_batches, materialize, release, shuffle_partitions, text_of, trimmed
 
 WINDOW, STEP = 400, 128
 #: Words of a passage (over 50), and how many window starts an anchor of words may serve.
@@ -46,7 +46,7 @@ PASSAGE_WORDS, PASSAGE_STEP = 51, 16
 #: Anchors of a gram that may meet in one bucket.
 GROUP = 2_000
 #: Bytes of suffixes that a task sorts.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Bytes of a row that names equal contexts, and of a table of them that is broadcast.
 EQUAL_BYTES, BROADCAST_BYTES = 100, 16 << 20
 #: Bytes of a symbol by what texts are made of.
@@ -335,7 +335,7 @@ def _find(docs: DataFrame, id_col: str, text_col: str, window: int, step: int, g
     places = found.where("owner is not null").groupBy("owner").agg(F.collect_list("extras").alias("extras"))
     near = classes.join(places, classes.hi == places.owner).select("rep", "rep_key", "hi", "lo", "extras")
     texts = near.join(source, same).select("hi", "lo", "extras", "text")
-    context = materialize(texts.mapInArrow(_contexts(window, unit), _CONTEXT_SQL))
+    context = materialize(texts.mapInArrow(trimmed(_contexts(window, unit)), _CONTEXT_SQL))
 
     hot = context.where("hot")
     work = context.where("not hot").withColumn("many", F.lit(False)).select("hi", "at", "far", "near", "many", "left", "right")
@@ -347,7 +347,7 @@ def _find(docs: DataFrame, id_col: str, text_col: str, window: int, step: int, g
     weight = work.agg(F.sum(F.length("left") + F.length("right"))).first()[0]
     parts = max(shuffle_partitions(spark), -(-int(weight or 0) // BUCKET_BYTES))
     lead = F.substring("right", 1, min(64, (window - step + 1) * width))
-    each = work.repartitionByRange(parts, lead).mapInArrow(_bucket(window, step, width, across), _SPAN_SQL)
+    each = work.repartitionByRange(parts, lead).mapInArrow(trimmed(_bucket(window, step, width, across)), _SPAN_SQL)
     for more in spans:
         each = each.unionByName(more)
     each = materialize(each)
@@ -356,7 +356,7 @@ def _find(docs: DataFrame, id_col: str, text_col: str, window: int, step: int, g
     partly = classes.where("copies = 1").join(ranges, F.col("hi") == F.col("at")).select("rep", "rep_key", "hi", "lo", "ranges")
     if unit == "bytes":
         partly = partly.join(source, same).select("hi", "lo", "ranges", "text")
-    cut = partly.drop("rep", "rep_key").mapInArrow(_cut, _CUT_SQL)
+    cut = partly.drop("rep", "rep_key").mapInArrow(trimmed(_cut), _CUT_SQL)
     full = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
     gone = classes.where((F.col("copies") > 1) & (F.col("size") >= window)).select("hi", "lo", full.alias("spans"), F.lit(_EMPTY).alias("sha"))
     answer = materialize(cut.unionByName(gone))
