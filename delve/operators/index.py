@@ -137,6 +137,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, root: str, source: str | None = None) -> None:
         self.spark, self.store = spark, _Store(spark, root)
+        self._frames: dict[str, DataFrame] = {}
         self.manifest = load_manifest(self.store)
         if source is not None and self.manifest.generation and not source.startswith(self.manifest.source):
             raise IndexMismatch(f"the index is of {self.manifest.source!r}; it cannot answer for {source!r}")
@@ -145,8 +146,12 @@ class Index:
         return load_manifest(self.store).generation != self.manifest.generation
 
     def _read(self, table: str, segments: list[dict]) -> DataFrame | None:
-        names = ", ".join(SCHEMAS[table].split(", "))
-        parts = [self.spark.read.schema(names).parquet(f"{self.store.root}/seg-{s['id']}/{table}") for s in segments]
+        parts = []
+        for s in segments:  # segments never change: their files are listed once
+            path = f"{self.store.root}/seg-{s['id']}/{table}"
+            if path not in self._frames:
+                self._frames[path] = self.spark.read.schema(SCHEMAS[table]).parquet(path)
+            parts.append(self._frames[path])
         return functools.reduce(DataFrame.unionAll, parts) if parts else None
 
     def dead(self) -> DataFrame:
@@ -313,7 +318,7 @@ def update_index(
     fresh = rebuild or not old.generation or (strategy is not None and strategy != old.strategy)
     current = Manifest(old.generation) if fresh else old
     index = Index.__new__(Index)
-    index.spark, index.store, index.manifest = spark, store, current
+    index.spark, index.store, index.manifest, index._frames = spark, store, current, {}
     live = index.table("sources").select(F.col("source_key").alias("key"), "version", "retry", "seg", "doc_count")
     changes = diff_listing(listing, live)
     changes.persist()

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,19 +20,35 @@ SPANS = "array<struct<start:bigint,end:bigint>>"
 def explode_lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("key",)) -> DataFrame:
     """(keep..., line, offset, text): lines end at line feeds only, count from 1, and a line feed at the end
     starts no line. ``offset`` is the byte offset of the line's start. An empty text has no lines."""
-    parts = F.split(F.col(text), "\n", -1)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    lines = docs.select(*keep, F.posexplode(parts).alias("pos", "text"))
-    before = Window.partitionBy(*keep).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.octet_length("text").cast("long") + 1).over(before), F.lit(0)).cast("long")
-    return lines.select(*keep, (F.col("pos") + 1).cast("long").alias("line"), offset.alias("offset"), "text")
+    lines = with_starts(docs.select(*keep, _parts(F.col(text)).alias("parts_")), keep)
+    return lines.select(*keep, (F.col("pos") + 1).cast("long").alias("line"), F.col("at").alias("offset"), "text")
+
+
+def _parts(text: Column) -> Column:
+    """The lines of a text as an array."""
+    parts = F.split(text, "\n", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def _starts(parts: pa.Array) -> pa.Array:
+    n = pc.list_value_length(parts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(n)
+    size = pc.binary_length(parts.flatten()).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    upto = np.cumsum(size)
+    before = np.r_[0, upto][ends - n]  # of a row's first line
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(upto - size - np.repeat(before, n)))
+
+
+def with_starts(rows: DataFrame, keep: tuple[str, ...], parts: str = "parts_") -> DataFrame:
+    """(keep..., pos, text, at): the lines of an array ``parts``, each with the byte where it starts; no shuffle."""
+    placed = rows.withColumn("at_", F.arrow_udf(_starts, "array<bigint>")(F.col(parts)))
+    each = placed.select(*keep, F.posexplode(F.arrays_zip(F.col(parts).alias("text"), F.col("at_").alias("at"))).alias("pos", "line_"))
+    return each.select(*keep, "pos", "line_.text", "line_.at")
 
 
 def plain_lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("key",)) -> DataFrame:
     """(keep..., line, text) without offsets: no shuffle."""
-    parts = F.split(F.col(text), "\n", -1)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return docs.select(*keep, F.posexplode(parts).alias("pos", "text")).select(*keep, (F.col("pos") + 1).cast("long").alias("line"), "text")
+    return docs.select(*keep, F.posexplode(_parts(F.col(text))).alias("pos", "text")).select(*keep, (F.col("pos") + 1).cast("long").alias("line"), "text")
 
 
 def _holds(text: Column, texts: list[str]) -> Column:
@@ -63,10 +82,31 @@ def submatches(text: Column, program: Program) -> Column:
             return pd.Series([[{"start": a, "end": b} for a, b in find_spans(regex, t.encode("utf-8", "surrogateescape"))] for t in lines], dtype=object)
 
         return spans(text)
-    gaps, found = F.split(text, program.java, -1), F.regexp_extract_all(text, F.lit(program.java), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.octet_length(g).cast("long").alias("gap"), F.octet_length(m).cast("long").alias("len")))
-    step = lambda acc, p: F.struct((acc["at"] + p["gap"] + p["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["len"]).alias("end")))).alias("out"))
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
+    # bytes that are no UTF-8 would come back three times as long: such lines are matched byte by byte, as Latin-1
+    valid = F.is_valid_utf8(text)
+    text = F.when(valid, text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1"))
+    return F.arrow_udf(_placed, SPANS)(F.split(text, program.java, -1), F.regexp_extract_all(text, F.lit(program.java), F.lit(0)), valid)
+
+
+def _placed(gaps: pa.Array, found: pa.Array, valid: pa.Array) -> pa.Array:
+    """Places of matches from their texts and the texts between them: running sums of their lengths, all rows at once."""
+    n = pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(n)
+    row = np.repeat(np.arange(len(n)), n)
+    bytes_ = valid.to_numpy(zero_copy_only=False).astype(bool)
+
+    def lengths(parts: pa.Array, of: np.ndarray) -> np.ndarray:
+        flat = parts.flatten()
+        one = pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+        return one if bytes_.all() else np.where(bytes_[of], one, pc.utf8_length(flat).to_numpy(zero_copy_only=False))
+
+    matched = lengths(found, row)
+    between = lengths(gaps, np.repeat(np.arange(len(n)), n + 1))[np.arange(len(row)) + row]  # without the text after the last match
+    upto = np.cumsum(matched + between)
+    before = np.r_[0, upto][ends - n]  # of a row's first match
+    stop = upto - before[row]
+    spans = pa.StructArray.from_arrays([pa.array(stop - matched), pa.array(stop)], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), spans)
 
 
 def witness_spans(lines: DataFrame, program: Program) -> DataFrame:
@@ -114,9 +154,7 @@ def document_hits(docs: DataFrame, program: Program, text: str = "text") -> Data
     if matches_any_line(program):
         return docs.where(F.octet_length(text) > 0)
     if program.crosses_lines or program.whole_document or program.can_be_empty:
-        parts = F.split(F.col(text), "\n", -1)
-        parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-        return docs.where(F.exists(parts, lambda line: line_matches(line, program)))
+        return docs.where(F.exists(_parts(F.col(text)), lambda line: line_matches(line, program)))
     return docs.where(may_match(F.col(text), program))
 
 

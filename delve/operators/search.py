@@ -12,7 +12,7 @@ from delve.plans.gramplan import plan, simplify
 
 from .candidates import any_of, candidate_blocks, most_places, stored_counts
 from .index import Index
-from .lines import document_hits, first_lines, line_matches, match_windows, matches_any_line, may_match, submatches, with_context
+from .lines import document_hits, first_lines, line_matches, match_windows, matches_any_line, may_match, submatches, with_context, with_starts
 from .scope import Scope, candidate_prefix
 
 KEEP = ("key",)
@@ -52,13 +52,12 @@ def candidates(index: Index, program: Program, scope: Scope, whole_documents: bo
     queries = [simplify(q, counts, space, 64 if index.manifest.strategy == "trigram" else 8) for q in queries]
     content = index.table("content", prefix).where(scope.admits(F.col("key")))
     docs = index.table("docs", prefix).where(scope.admits(F.col("display_key")))
-    every = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     if all(q.kind == "none" for q in queries):
-        return Candidates(content.limit(0), every.limit(0), queries, True)
+        return Candidates(content.limit(0), index.spark.createDataFrame([], "doc_id long, block int"), queries, True)
     if any(q.kind == "all" for q in queries):
-        return Candidates(content, every, queries, False)
-    found = candidate_blocks(postings, every, queries).select("doc_id", "block")
-    places = found.join(docs.select("doc_id", "display_key", "bucket").distinct(), "doc_id")
+        return Candidates(content, docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), queries, False)
+    found = candidate_blocks(postings, postings, queries).select("doc_id", "block")
+    places = found.join(docs.select("doc_id", "display_key", "bucket"), "doc_id")
     on = ["doc_id"] if whole_documents else ["doc_id", "block"]
     most = sum(most_places(q, counts, space) for q in queries)
     if most <= FEW:
@@ -69,21 +68,18 @@ def candidates(index: Index, program: Program, scope: Scope, whole_documents: bo
         near = near.where(any_of(F.col("key"), keys)) if len(keys) <= 100 else near
         return Candidates(near.join(F.broadcast(chosen.select(*on).distinct()), on, "left_semi"), chosen, queries, not rows)
     if most * PLACE_BYTES <= BROADCAST_BYTES and most < SHARE * space:
-        return Candidates(content.join(F.broadcast(found.select(*on).distinct()), on, "left_semi"), places.select("doc_id", "block"), queries, False)
+        return Candidates(content.join(F.broadcast(found.select(*on)), on, "left_semi"), places.select("doc_id", "block"), queries, False)
     return Candidates(content, places.select("doc_id", "block"), queries, False)
 
 
 def block_lines(blocks: DataFrame) -> DataFrame:
     """(key, line, offset, text) of blocks of whole lines."""
-    from pyspark.sql import Window
-
     text = F.col("bytes").cast("string")
-    parts = F.split(text, "\n", -1)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    lines = blocks.select("key", "block", "first_line", "start", F.posexplode(parts).alias("pos", "text"))
-    before = Window.partitionBy("key", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.col("start") + F.coalesce(F.sum(F.octet_length("text").cast("long") + 1).over(before), F.lit(0))
-    return lines.select("key", (F.col("first_line") + F.col("pos") + 1).alias("line"), offset.cast("long").alias("offset"), "text")
+    raw = F.transform(F.split(F.decode("bytes", "ISO-8859-1"), "\n", -1), lambda x: F.encode(x, "ISO-8859-1").cast("string"))  # bytes as they are
+    parts = F.when(F.is_valid_utf8(text), F.split(text, "\n", -1)).otherwise(raw)
+    parts = F.when(F.octet_length(F.element_at(parts, -1)) == 0, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    lines = with_starts(blocks.select("key", "first_line", "start", parts.alias("parts_")), ("key", "first_line", "start"))
+    return lines.select("key", (F.col("first_line") + F.col("pos") + 1).alias("line"), (F.col("start") + F.col("at")).cast("long").alias("offset"), "text")
 
 
 def search(index: Index, program: Program, scope: Scope | None = None, detail: str = "lines", before: int = 0, after: int = 0, max_count: int | None = None, window: int = 0) -> DataFrame:

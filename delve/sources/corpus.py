@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +131,16 @@ def line_blocks(content: bytes, size: int = BLOCK) -> Iterator[tuple[int, int, i
         at, line, block = end, line + piece.count(b"\n"), block + 1
 
 
+#: Bytes of blocks that leave a worker at once.
+SENT = 8 << 20
+
+
+def longest_line(content: bytes) -> int:
+    """Bytes of the longest line, without its line feed."""
+    feeds = np.flatnonzero(np.frombuffer(content, dtype=np.uint8) == 10)
+    return int(np.diff(np.r_[-1, feeds, len(content)]).max()) - 1 if content else 0
+
+
 DECODED = "source_key string, version string, encoded_size long, encoding string, failed boolean, error string, display_key string, member_path string, decoded_size long, max_line_len long, block int, first_line long, start long, newlines int, bytes binary"
 
 
@@ -144,6 +155,9 @@ def decode_corpus(corpus: DataFrame, limits: Limits | None = None, block: int =
     kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[c.split(" ")[1]]) for n, c in zip(names, DECODED.split(", "), strict=True)])
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, version, size, content in zip(*(batch.column(c) for c in ("key", "version", "encoded_size", "content")), strict=True):
@@ -154,12 +168,17 @@ def decode_corpus(corpus: DataFrame, limits: Limits | None = None, block: int =
                 except DecodeError as e:
                     error = str(e)
                 head = (key.as_py(), version.as_py(), size.as_py(), kind, error is not None, error)
-                rows = [(*head, None, None, None, None, None, None, None, None, None)]
+                rows, held = [(*head, None, None, None, None, None, None, None, None, None)], 0
                 for d in documents:
-                    longest = max((len(x) for x in d.content.split(b"\n")), default=0)
-                    for number, line, start, piece in list(line_blocks(d.content, block)) or [(0, 0, 0, b"")]:
+                    longest = longest_line(d.content)
+                    for number, line, start, piece in line_blocks(d.content, block) if d.content else [(0, 0, 0, b"")]:
                         rows.append((*head, d.display_key, d.member_path, len(d.content), longest, number, line, start, piece.count(b"\n"), piece))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        held += len(piece)
+                        if held >= SENT:  # a large object leaves in parts
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield batch_of(rows)
 
     return corpus.select("key", "version", "encoded_size", "content").mapInArrow(run, DECODED)
 

@@ -237,6 +237,26 @@ def test_sinks_and_shortcuts(index, spark):
     assert required_texts(compile_patterns(["ab.*cde?"])) == ["ab"] and required_texts(compile_patterns(["(?i)abc"])) is None
 
 
+def test_lines_that_are_no_utf8(spark, tmp_path):
+    texts = {"latin": b"caf\xe9 world\xff w\xf6rld world\n", "fine": "é world\n".encode(), "cut": b"\xe2\x82 world\n\xff"}
+    root = str(tmp_path / "i")
+    update_index(spark, root, memory_corpus(spark, texts), "m", "trigram")
+    got = {r["key"]: [(s["start"], s["end"]) for s in r["submatches"]] for r in search(Index(spark, root), compile_patterns(["world"])).collect()}
+    want = {k: [m.span() for m in re.finditer(b"world", t.split(b"\n")[0])] for k, t in texts.items()}
+    assert got == want
+
+
+def test_a_large_object_leaves_a_worker_in_parts(spark, monkeypatch):
+    from delve.sources import corpus as C
+
+    content = b"".join(b"line %d\n" % n * (n % 7) for n in range(20_000)) + b"x" * 300_000
+    monkeypatch.setattr(C, "SENT", 1 << 16)
+    rows = C.decode_corpus(memory_corpus(spark, {"big": content, "none": b""}), block=1 << 12).where("display_key is not null").orderBy("display_key", "block").collect()
+    assert b"".join(bytes(r["bytes"]) for r in rows if r["display_key"] == "big") == content and rows[0]["max_line_len"] == 300_000
+    assert [(r["decoded_size"], r["max_line_len"], bytes(r["bytes"])) for r in rows if r["display_key"] == "none"] == [(0, 0, b"")]
+    assert [C.longest_line(x) for x in (b"", b"\n", b"ab", b"a\nbcd\n", b"\n\nxyz")] == [0, 0, 2, 3, 3]
+
+
 def test_pick_merge():
     seg = lambda b: {"bytes": b, "docs": 1}
     assert pick_merge([seg(1)] * 3) is None
