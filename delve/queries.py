@@ -405,6 +405,22 @@ def flt06(spark, sf):
     return _events(spark, sf).select("event_id", F.date_format(t["start"], "yyyy-MM-dd HH:mm").alias("start"), F.date_format(t["end"], "yyyy-MM-dd HH:mm").alias("end"))
 
 
+_SHAPES = ("'events/dt=' || strftime(ts, '%Y-%m-%d') || '/x'", "'logs/' || strftime(ts, '%Y/%-m/%-d') || '/b.log'", "'lb/' || strftime(ts, '%Y%m%dT%H%MZ') || '_x.log'", "'y/year=' || strftime(ts, '%Y/month=%m/day=%d/hour=%H') || '/c'", "'d/' || strftime(ts, '%Y-%m-%d-%H-%M-%S') || '-z'")
+
+
+@query("flt06_key_shapes", "SELECT event_id, key, strftime(low - INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') AS start, strftime(high, '%Y-%m-%d %H:%M:%S') AS \"end\" FROM (SELECT event_id, CASE event_id % 5 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_SHAPES)) + """ END AS key,
+  CASE event_id % 5 WHEN 2 THEN date_trunc('minute', ts) WHEN 3 THEN date_trunc('hour', ts) WHEN 4 THEN date_trunc('second', ts) ELSE date_trunc('day', ts) END AS low,
+  CASE event_id % 5 WHEN 2 THEN date_trunc('minute', ts) + INTERVAL 1 MINUTE WHEN 3 THEN date_trunc('hour', ts) + INTERVAL 1 HOUR WHEN 4 THEN date_trunc('second', ts) + INTERVAL 1 SECOND ELSE date_trunc('day', ts) + INTERVAL 1 DAY END AS high FROM events)""")
+def flt06_shapes(spark, sf):
+    """The times in keys of each known shape, from days to seconds."""
+    ts = F.col("ts").cast("timestamp")
+    part = lambda pattern: F.date_format(ts, pattern)
+    shapes = [F.concat(F.lit("events/dt="), part("yyyy-MM-dd"), F.lit("/x")), F.concat(F.lit("logs/"), part("yyyy/M/d"), F.lit("/b.log")), F.concat(F.lit("lb/"), part("yyyyMMdd'T'HHmm'Z'"), F.lit("_x.log")), F.concat(F.lit("y/year="), part("yyyy'/month='MM'/day='dd'/hour='HH"), F.lit("/c")), F.concat(F.lit("d/"), part("yyyy-MM-dd-HH-mm-ss"), F.lit("-z"))]
+    key = F.element_at(F.array(*shapes), (F.col("event_id") % 5 + 1).cast("int"))
+    t = key_time_range(F.col("key"))
+    return _t(spark, sf, "events").select("event_id", key.alias("key")).select("event_id", "key", F.date_format(t["start"], "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format(t["end"], "yyyy-MM-dd HH:mm:ss").alias("end"))
+
+
 @query("flt07_time_scope", "SELECT count(*) AS n FROM events, (SELECT date_trunc('day', min(ts)) AS d FROM events) WHERE date_trunc('day', ts) + INTERVAL 1 DAY > d + INTERVAL 2 DAY AND date_trunc('day', ts) - INTERVAL 15 MINUTE < d + INTERVAL 5 DAY")
 def flt07(spark, sf):
     events = _events(spark, sf)

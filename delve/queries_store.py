@@ -28,6 +28,7 @@ from delve.functions.grams import document_grams
 from delve.functions.patterns import compile_patterns, max_length, plan_kinds, search_extent, witnesses
 from delve.operators import lines as L
 from delve.operators import render
+from delve.operators.candidates import candidate_blocks, gram_counts
 from delve.operators.index import MERGE_BYTES, MERGE_DOCS, Index, diff_listing, pick_merge, update_index
 from delve.operators.scope import Scope, candidate_prefix, parse_instant, prefix_range
 from delve.operators.search import list_files, search, search_collect, search_null, search_stats
@@ -339,10 +340,8 @@ def idx12(spark, sf):
     docs = _docs(spark, sf)
     postings, program = _postings(docs), compile_patterns(["Licensed under"])
     queries = plan(program)
-    counts = {g: 1 + g[0] for q in queries for g in q.grams()}
+    counts = gram_counts(postings, set().union(*(q.grams() for q in queries)))
     few = [simplify(q, counts, 1 << 20, keep=2) for q in queries]  # the two rarest grams alone
-    from delve.operators.candidates import candidate_blocks
-
     chosen = candidate_blocks(postings, docs.select("doc_id", F.lit(0).alias("block")), few)
     return L.matching_lines(docs.join(chosen, "doc_id", "left_semi"), program)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +22,35 @@ class StaleSource(RuntimeError):
 
 
 def list_objects(spark: SparkSession, root: str, prefix: str = "", exclude: str | None = None) -> DataFrame:
-    """(key, version, encoded_size) below ``root``; contents are not read. ``prefix`` names a folder or a key."""
+    """(key, version, encoded_size) below ``root``; contents are not read. ``prefix`` names a folder or a key. Symbolic links are skipped."""
     root = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     key = relative_key(F.col("path"), root)
-    version = F.concat_ws("-", F.col("modificationTime").cast("double").cast("decimal(20,3)").cast("string"), F.col("length").cast("string"))
-    out = files.select(key.alias("key"), version.alias("version"), F.col("length").alias("encoded_size"))
+    out = without_links(files.select(key.alias("key"), _listed_version().alias("version"), F.col("length").alias("encoded_size")), root)
     if prefix:
         folder = prefix if prefix.endswith("/") else f"{prefix}/"
         out = out.where((F.col("key") == prefix) | F.col("key").startswith(folder))
     return outside(out, exclude) if exclude else out
 
 
+def _listed_version() -> Column:
+    """The version that a listing gives a file: when it was written, and its length."""
+    return F.concat_ws("-", F.col("modificationTime").cast("double").cast("decimal(20,3)").cast("string"), F.col("length").cast("string"))
+
+
+def without_links(rows: DataFrame, root: str) -> DataFrame:
+    """Objects that are no symbolic links, nor below one; only folders of the machine itself have any."""
+    scheme, mark, path = root.partition("://")
+    if mark and scheme != "file":
+        return rows
+    folder, links = Path(path if mark else root.removeprefix("file:")), []
+    for top, folders, files in os.walk(folder):
+        links += [str(Path(top, name).relative_to(folder)) for name in (*folders, *files) if Path(top, name).is_symlink()]
+    for link in links:
+        rows = rows.where((F.col("key") != link) & ~F.col("key").startswith(f"{link}/"))
+    return rows
+
+
 def outside(rows: DataFrame, namespace: str) -> DataFrame:
     """Objects whose keys do not lie in ``namespace``, where an index keeps its own."""
     return rows.where(~F.col("key").startswith(namespace))
@@ -65,7 +84,7 @@ def read_corpus(spark: SparkSession, root: str, listing: DataFrame | None = None
     The version is the SHA-256 of the content.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root.rstrip("/"))
-    rows = files.select(relative_key(F.col("path"), root.rstrip("/")).alias("key"), F.col("length").alias("encoded_size"), "content")
+    rows = without_links(files.select(relative_key(F.col("path"), root.rstrip("/")).alias("key"), F.col("length").alias("encoded_size"), "content"), root.rstrip("/"))
     if listing is not None:
         rows = listed(rows, listing)
     return rows.select("key", F.sha2("content", 256).alias("version"), "encoded_size", "content")
@@ -76,9 +95,9 @@ NAMED = 5_000
 
 
 def read_objects(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """(key, version, encoded_size, content) of the listed objects (key, version) that are still there, under their listed versions.
+    """(key, version, encoded_size, content) of the objects of a listing (key, version) that are still there in their listed versions.
 
-    Up to NAMED objects are opened by name, so an update reads what has changed and nothing else.
+    An object that has changed since is left out, as one that is gone: the next update lists it anew. Up to NAMED objects are opened by name, so an update reads what has changed and nothing else.
     """
     root = root.rstrip("/")
     rows = wanted.select("key", "version").limit(NAMED + 1).collect()
@@ -93,7 +112,8 @@ def read_objects(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame
         wanted = F.broadcast(spark.createDataFrame(rows, "key string, version string"))
     else:
         read = files.option("recursiveFileLookup", "true").load(root)
-    return read.select(relative_key(F.col("path"), root).alias("key"), F.col("length").alias("encoded_size"), "content").join(wanted, "key").select("key", "version", "encoded_size", "content")
+    rows = read.select(relative_key(F.col("path"), root).alias("key"), _listed_version().alias("version"), F.col("length").alias("encoded_size"), "content")
+    return rows.join(wanted.select("key", "version"), ["key", "version"], "left_semi")
 
 
 def memory_corpus(spark: SparkSession, objects: dict[str, bytes]) -> DataFrame:

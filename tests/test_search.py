@@ -180,7 +180,7 @@ def test_a_losing_writer_leaves_nothing(spark, tmp_path, monkeypatch):
         reader.check()
 
 
-def test_updates_by_listing_read_what_changed(spark, tmp_path):
+def test_updates_by_listing_read_what_changed(spark, tmp_path, monkeypatch):
     from delve.sources import corpus as C
 
     folder = tmp_path / "d"
@@ -200,8 +200,18 @@ def test_updates_by_listing_read_what_changed(spark, tmp_path):
     assert (report["added"], report["removed"]) == (1, 2) and asked[1:] == [["f3.txt"]]
     got = {(r["key"], r["text"]) for r in search(Index(spark, str(tmp_path / "i")), compile_patterns(["file"])).collect()}
     assert got == {("f0.txt", "file 0"), ("f1.txt", "file 1"), ("f2.txt", "file 2"), ("f3.txt", "file three"), ("f4.txt", "file 4")}
-    gone = spark.createDataFrame([("f0.txt", "v"), ("nope.txt", "v")], "key string, version string")
-    assert [r["key"] for r in C.read_objects(spark, str(folder), gone).collect()] == ["f0.txt"]
+    listing = C.list_objects(spark, str(folder)).select("key", "version").where("key < 'f2'")
+    rows = [tuple(r) for r in listing.collect()] + [("nope.txt", "1-1"), ("f2.txt", "an older version")]
+    wanted = spark.createDataFrame(rows, "key string, version string")
+    assert sorted(r["key"] for r in C.read_objects(spark, str(folder), wanted).collect()) == ["f0.txt", "f1.txt"]
+    monkeypatch.setattr(C, "NAMED", 1)
+    assert sorted(r["key"] for r in C.read_objects(spark, str(folder), wanted).collect()) == ["f0.txt", "f1.txt"]
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/secret.txt").write_text("x")
+    (folder / "link.txt").symlink_to(folder / "f0.txt")
+    (folder / "linked").symlink_to(tmp_path / "out")
+    for keys in (C.list_objects(spark, str(folder)), C.list_objects(spark, f"file://{folder}"), C.read_corpus(spark, str(folder))):
+        assert sorted(r["key"] for r in keys.select("key").collect()) == ["f0.txt", "f1.txt", "f2.txt", "f3.txt", "f4.txt"]
 
 
 def test_a_search_starts_again_when_its_generation_goes_and_no_line_is_out():
