@@ -102,12 +102,15 @@ def read_objects(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame
     root = root.rstrip("/")
     rows = wanted.select("key", "version").limit(NAMED + 1).collect()
     files = spark.read.format("binaryFile")
-    if rows and len(rows) <= NAMED:
+    none = spark.createDataFrame([], "key string, version string, encoded_size long, content binary")
+    if not rows:
+        return none
+    if len(rows) <= NAMED:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         paths = [jvm.org.apache.hadoop.fs.Path(f"{root}/{r['key']}") for r in rows]
         there = [p.toString() for p in paths if p.getFileSystem(conf).exists(p)]
         if not there:
-            return spark.createDataFrame([], "key string, version string, encoded_size long, content binary")
+            return none
         read = files.load(there)
         wanted = F.broadcast(spark.createDataFrame(rows, "key string, version string"))
     else:

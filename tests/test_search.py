@@ -247,6 +247,17 @@ def test_sinks_and_shortcuts(index, spark):
     assert required_texts(compile_patterns(["ab.*cde?"])) == ["ab"] and required_texts(compile_patterns(["(?i)abc"])) is None
 
 
+def test_an_index_of_nothing(spark, tmp_path):
+    for name, objects in (("none", {}), ("broken", {"bad.gz": b"\x1f\x8b\x08broken"}), ("blank", {"empty": b""})):
+        root = str(tmp_path / name)
+        report = update_index(spark, root, memory_corpus(spark, objects) if objects else memory_corpus(spark, {"x": b""}).limit(0), "m")
+        assert report["total_docs"] == (name == "blank")
+        for pattern in ("world", ".*"):
+            assert search(Index(spark, root), compile_patterns([pattern])).count() == 0
+            assert search(Index(spark, root), compile_patterns([pattern]), detail="documents").count() == 0
+        assert search_stats(Index(spark, root), compile_patterns(["world"]))["hits"] == 0
+
+
 def test_lines_that_are_no_utf8(spark, tmp_path):
     texts = {"latin": b"caf\xe9 world\xff w\xf6rld world\n", "fine": "é world\n".encode(), "cut": b"\xe2\x82 world\n\xff"}
     root = str(tmp_path / "i")
