@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +18,10 @@ MAX_SPARSE = 64
 
 
 def pack(gram: bytes) -> int:
-    """A trigram as a 24-bit number, a longer gram as a 40-bit hash above all trigrams."""
+    """A trigram as a 24-bit number, a longer gram as a 32-bit hash above all trigrams."""
     if len(gram) == 3:
         return int.from_bytes(gram, "big")
-    return (1 << 40) | (_fnv(gram) & ((1 << 40) - 1))
+    return (1 << 32) | (_fnv(gram) & ((1 << 32) - 1))
 
 
 def _fnv(data: bytes) -> int:
@@ -73,7 +76,7 @@ def _hashed(h: np.ndarray) -> np.ndarray:
     """:func:`pack` of grams other than trigrams, from their running hashes."""
     h = h ^ (h >> np.uint64(29))
     h = (h * np.uint64(0xBF58476D1CE4E5B9)) ^ (h >> np.uint64(32))
-    return ((h & np.uint64((1 << 40) - 1)) | np.uint64(1 << 40)).astype(np.int64)
+    return ((h & np.uint64((1 << 32) - 1)) | np.uint64(1 << 32)).astype(np.int64)
 
 
 def sparse_codes(data: bytes, limit: int = MAX_SPARSE) -> np.ndarray:
@@ -148,7 +151,198 @@ def block_grams(blocks: DataFrame, strategy: str = "trigram", carry: tuple[str,
     return blocks.select(*carry, "doc_id", "block", "bytes").mapInArrow(run, f"{names}gram long, doc_id long, block int")
 
 
-#: Bytes of text whose sparse grams one step takes together.
+def _codes(texts: list[bytes], strategy: str) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, row) of the packed grams of texts laid end to end; one that repeats in a text comes again."""
+    offs = np.r_[0, np.cumsum([len(t) for t in texts])]
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offs))
+    stop = (offs[1:].astype(np.int32) - 1)[row]  # of a start's pairs
+    if strategy == "trigram":
+        at, wide = np.flatnonzero(np.arange(1, len(raw) + 1) < stop), raw.astype(np.int64)
+        return (wide[at] << 16) | (wide[at + 1] << 8) | wide[at + 2], row[at]
+    wide, prime = raw.astype(np.uint64), np.uint64(0x100000001B3)
+    weight = _WEIGHTS[raw[:-1].astype(np.int64) * 256 + raw[1:]]
+    at = np.flatnonzero(np.arange(len(raw), dtype=np.int32) < stop).astype(np.int32)
+    h = (((np.uint64(0xCBF29CE484222325) ^ wide[at]) * prime) ^ wide[at + 1]) * prime
+    first, inner, stop, grams, rows = weight[at], np.full(len(at), -1, np.int64), stop[at], [_hashed(h)], [row[at]]
+    for d in range(1, MAX_SPARSE - 1):
+        live = np.flatnonzero((at + d < stop) & (inner < first))
+        if not len(live):
+            break
+        at, h, inner, first, stop = at[live], h[live], inner[live], first[live], stop[live]
+        h = (h ^ wide[at + (d + 1)]) * prime
+        last = weight[at + d]
+        whole = np.flatnonzero(last > inner)
+        i = at[whole]
+        grams.append(((raw[i].astype(np.int64) << 16) | (raw[i + 1].astype(np.int64) << 8) | raw[i + 2]) if d == 1 else _hashed(h[whole]))
+        rows.append(row[i])
+        inner = np.maximum(inner, last)
+    return np.concatenate(grams), np.concatenate(rows)
+
+
+#: Fixed values of stored postings: bytes of text and number of blocks that end a run, bits of a place, bytes of text whose grams one step takes, grams of a chunk.
+RUN_BYTES, RUN_PLACES, PLACE_BITS, RUN_STEP, CHUNK = 16 << 20, 1 << 18, 20, 1 << 18, 4_096
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys.sort()
+    new = keys[1:] != keys[:-1]
+    return keys if new.all() else keys[np.r_[True, new]]
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Numbers by their lowest bytes, then their next ones, and so on, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1) if len(values) else b""
+
+
+def _expand(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(size, -1) if data else np.zeros((size, 0), np.uint8)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def encode_chunk(gram: np.ndarray, n: np.ndarray, gaps: np.ndarray) -> bytes:
+    """Sorted grams, how many places each has, and the gaps between its places; gaps of lists of about one length are kept together."""
+    kind = np.frexp(n)[1]
+    own = np.repeat(kind, n)
+    parts = [_squeeze(np.diff(gram, prepend=0)), _squeeze(n.astype(np.uint32)), *(_squeeze(gaps[own == k]) for k in range(1, kind.max() + 1))]
+    return np.array([len(parts), *map(len, parts)], np.uint32).tobytes() + b"".join(parts)
+
+
+def decode_chunk(data: bytes, codes: np.ndarray, places: bool = True) -> Iterator[tuple[int, int, np.ndarray | None]]:
+    """(gram, how many places, places) of those of ``codes`` that a chunk has."""
+    head = np.frombuffer(data, np.uint32, 1 + int(np.frombuffer(data, np.uint32, 1)[0])).astype(np.int64)
+    ends = 4 * len(head) + np.cumsum(head[1:])
+    part = lambda k: data[ends[k] - head[k + 1] : ends[k]]
+    gram, n = np.cumsum(_expand(part(0), np.int64)), _expand(part(1), np.uint32).astype(np.int64)
+    kind, lists = np.frexp(n)[1], {}
+    for k in np.flatnonzero(np.isin(gram, codes)).tolist():
+        if not places:
+            yield int(gram[k]), int(n[k]), None
+            continue
+        own = int(kind[k])
+        if own not in lists:
+            lists[own] = _expand(part(1 + own), np.uint32).astype(np.int64)
+        start = int(n[:k][kind[:k] == own].sum())
+        yield int(gram[k]), int(n[k]), np.cumsum(lists[own][start : start + n[k]] + 1) - 1
+
+
+def encode_run(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes]]:
+    """(lowest gram, highest gram, data) of chunks of sorted distinct keys, a gram above the ``bits`` bits of a place."""
+    starts = np.flatnonzero(np.r_[True, (keys[1:] >> bits) != (keys[:-1] >> bits)]) if len(keys) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(keys)]
+    for at in range(0, len(starts), CHUNK):
+        own, to = starts[at : at + CHUNK], ends[at : at + CHUNK]
+        lo = own[0]
+        place = keys[lo : to[-1]] & ((1 << bits) - 1)
+        gaps = np.diff(place, prepend=-1) - 1
+        gaps[own - lo] = place[own - lo]
+        gram = keys[own] >> bits
+        yield int(gram[0]), int(gram[-1]), encode_chunk(gram, to - own, gaps.astype(np.uint32))
+
+
+POSTINGS = "run long, low long, high long, data binary, doc_ids array<long>, blocks array<int>"
+
+
+def stored_postings(content: DataFrame, strategy: str) -> DataFrame:
+    """Postings of rows (doc_id, block, bytes) as a segment keeps them, without a shuffle.
+
+    The blocks that a worker reads one after the other form runs of RUN_BYTES. A run has a row with its places (``low`` is -1), then rows of up to
+    CHUNK neighbouring grams with the numbers of their places."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("run", "low", "high")), ("data", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("blocks", pa.list_(pa.int32()))])
+
+    def rows(values: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*values, strict=True), schema, strict=True)], schema=schema)
+
+    def close(parts: list[np.ndarray], docs: list[int], blocks: list[int]) -> Iterator[pa.RecordBatch]:
+        run, held, size = uuid.uuid4().int >> 65, [], 0
+        yield rows([(run, -1, -1, None, docs, blocks)])
+        keys = np.concatenate(parts)
+        parts.clear()
+        for chunk in encode_run(_distinct(keys), PLACE_BITS):
+            held.append((run, *chunk, None, None))
+            size += len(chunk[2])
+            if size >= _STEP:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, docs, blocks, size = [], [], [], 0
+        texts, own, held = [], [], 0
+
+        def step() -> None:
+            gram, row = _codes(texts, strategy)
+            parts.append(_distinct((gram << PLACE_BITS) | np.array(own, np.int64)[row]))
+            texts.clear()
+            own.clear()
+
+        for batch in batches:
+            for doc, block, data in zip(batch.column("doc_id").to_pylist(), batch.column("block").to_pylist(), batch.column("bytes"), strict=True):
+                docs.append(doc)
+                blocks.append(block)
+                whole = data.as_py() or b""
+                for at in range(0, len(whole), RUN_STEP):  # a gram lies in a piece, as pieces overlap by the longest one
+                    texts.append(whole[at : at + RUN_STEP + MAX_SPARSE - 1])
+                    own.append(len(docs) - 1)
+                    held += len(texts[-1])
+                    if held >= RUN_STEP:
+                        step()
+                        size, held = size + held, 0
+                if size >= RUN_BYTES or len(docs) >= RUN_PLACES:
+                    if texts:
+                        step()
+                    yield from close(parts, docs, blocks)
+                    docs, blocks, size, held = [], [], 0, 0
+        if texts:
+            step()
+        if parts:
+            yield from close(parts, docs, blocks)
+
+    return content.select("doc_id", "block", "bytes").mapInArrow(run, POSTINGS)
+
+
+#: Ranges of grams that chunks are chosen by, at most.
+_RANGES = 100
+
+
+def _covered(stored: DataFrame, codes: np.ndarray) -> DataFrame:
+    """Chunks that may hold one of the codes."""
+    near = [(int(c[0]), int(c[-1])) for c in np.array_split(codes, min(len(codes), _RANGES))] if len(codes) else []
+    return stored.where((F.col("low") >= 0) & reduce(lambda a, b: a | b, [(F.col("low") <= hi) & (F.col("high") >= lo) for lo, hi in near], F.lit(False)))
+
+
+def found_counts(stored: DataFrame, codes: list[int]) -> DataFrame:
+    """(gram, n): how many places each of the codes has, by run."""
+    wanted = np.array(sorted(codes), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x[:2] for data in batch.column("data") for x in decode_chunk(data.as_py(), wanted, False)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["gram", "n"])
+
+    return _covered(stored, wanted).select("data").mapInArrow(run, "gram long, n long")
+
+
+def found_postings(stored: DataFrame, codes: list[int]) -> DataFrame:
+    """(gram, doc_id, block) of the codes."""
+    schema = pa.schema([("run", pa.int64()), ("gram", pa.int64()), ("at", pa.list_(pa.int32()))])
+    wanted = np.array(sorted(codes), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, data in zip(batch.column("run").to_pylist(), batch.column("data"), strict=True):
+                found = list(decode_chunk(data.as_py(), wanted))
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(found), pa.int64()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[2] for x in found], schema.field("at").type)], schema=schema)
+
+    hits = _covered(stored, wanted).select("run", "data").mapInArrow(run, "run long, gram long, at array<int>")
+    places = stored.where("low = -1").select("run", "doc_ids", "blocks")
+    each = F.transform("at", lambda k: F.struct(F.get("doc_ids", k).alias("doc_id"), F.get("blocks", k).alias("block")))
+    return hits.join(places, "run").select("gram", F.explode(each).alias("place")).select("gram", "place.*")
+
+
+#: Bytes of text whose sparse grams one step takes together, and of postings that leave a worker at once.
 _STEP = 1 << 20
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from delve.functions.grams import BLOCK, pack
 from delve.plans.gramplan import Query
 
+from .index import Index
+
 PLACE = ("doc_id", "block")
 
 
@@ -39,15 +41,10 @@ def gram_counts(postings: DataFrame, grams: set[bytes]) -> dict[bytes, int]:
     return {codes[r["gram"]]: r["n"] for r in rows}
 
 
-def stored_counts(table: DataFrame, grams: set[bytes]) -> dict[bytes, int]:
-    """The same from the counts (gram, n) that segments keep."""
+def stored_counts(index: Index, grams: set[bytes], prefix: str | None = None) -> dict[bytes, int]:
+    """The same from the postings that segments keep."""
     codes = {pack(g): g for g in grams}
-    if not codes:
-        return {}
-    out: dict[bytes, int] = {}
-    for r in table.where(any_of(F.col("gram"), sorted(codes))).collect():  # a row a gram and segment
-        out[codes[r["gram"]]] = out.get(codes[r["gram"]], 0) + r["n"]
-    return out
+    return {codes[r["gram"]]: r["n"] for r in index.gram_counts(sorted(codes), prefix).collect()} if codes else {}
 
 
 def holds(query: Query, grams: Column) -> Column:

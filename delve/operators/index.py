@@ -1,6 +1,6 @@
 """The index: immutable segments of Parquet tables under a generation manifest.
 
-``seg-<id>/`` holds sources, docs, content, postings and grams (how many places each has); ``dead-<id>/`` the sources of older segments that
+``seg-<id>/`` holds sources, docs, content and postings (compressed lists of the places of each gram, by runs of neighbouring content); ``dead-<id>/`` the sources of older segments that
 a generation dropped. Content lies in folders of neighbouring keys (``bucket=<n>``), each of about BUCKET_BYTES;
 docs name the bucket of a document, so a search opens the folders of its candidates only. ``gen-<n>.json`` names the live segments; the highest is the root. A writer
 publishes by creating the next one exclusively, so of two writers one fails and deletes nothing.
@@ -10,6 +10,7 @@ Document ids hash the key and version: segments merge without renumbering.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,13 +19,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from delve.functions.grams import block_grams, pick_strategy, strided
+from delve.functions.grams import POSTINGS, found_counts, found_postings, pick_strategy, stored_postings, strided
 from delve.sources.corpus import decode_corpus, vanished
 from delve.sources.decode import Limits
 
 #: Share of dead documents or bytes that repacks a segment, segments before merging, and caps of a merge.
 REPACK, MAX_SEGMENTS, MERGE_DOCS, MERGE_BYTES = 0.25, 8, 4_000_000, 256 << 20
-FORMAT = 2
+FORMAT = 3
 #: Bytes of a content folder, and how many a segment has at most.
 BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 4_096
 #: Bytes of a row group: what a lookup reads at least, and what a task of a scan has at least.
@@ -166,10 +167,18 @@ class Index:
         df = self._read(table, chosen)
         if df is None:
             df = self.spark.createDataFrame([], SCHEMAS[table])
-        if table in ("postings", "grams"):  # of dead documents too: readers join candidates with docs
+        if table == "postings":  # of dead documents too: readers join candidates with docs
             return df
         return df.join(F.broadcast(self.dead()) if self._few_dead() else self.dead(), ["seg", "source_key"], "left_anti") if self.manifest.dead else df
 
+    def postings(self, codes: list[int], prefix: str | None = None) -> DataFrame:
+        """(gram, doc_id, block) of some packed grams, those of dead documents too."""
+        return found_postings(self.table("postings", prefix), codes)
+
+    def gram_counts(self, codes: list[int], prefix: str | None = None) -> DataFrame:
+        """(gram, n): the places of some packed grams."""
+        return found_counts(self.table("postings", prefix), codes).groupBy("gram").agg(F.sum("n").alias("n"))
+
     def _few_dead(self) -> bool:
         return sum(s.get("dead", 0) for s in self.manifest.segments) <= 100_000
 
@@ -187,8 +196,7 @@ SCHEMAS = {
     "sources": "seg string, source_key string, version string, encoded_size long, encoding string, doc_count long, failed boolean, retry boolean",
     "docs": "seg string, source_key string, doc_id long, display_key string, member_path string, decoded_size long, max_line_len long, blocks int, block_newlines array<int>, bucket int",
     "content": "seg string, source_key string, doc_id long, key string, block int, first_line long, start long, bytes binary, bucket int",
-    "postings": "gram long, doc_id long, block int",
-    "grams": "gram long, n long",
+    "postings": POSTINGS,
 }
 
 
@@ -207,13 +215,19 @@ def _write_content(content: DataFrame, base: str) -> None:
     weight = content.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(1, min(MAX_BUCKETS, -(-weight // BUCKET_BYTES)))
     dealt = content.repartitionByRange(buckets, "key").withColumn("bucket", F.spark_partition_id()).sortWithinPartitions("bucket", "key", "block")
-    dealt.write.partitionBy("bucket").option("parquet.block.size", ROW_GROUP).parquet(f"{base}/content")
+    dealt.write.partitionBy("bucket").option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(f"{base}/content")
+
+
+def _write_postings(spark: SparkSession, base: str, strategy: str) -> None:
+    """Postings of the content that a segment has, each task those of what it reads: nothing is dealt out. Pages of few rows let a search skip the others."""
+    content = spark.read.schema(SCHEMAS["content"]).parquet(f"{base}/content")
+    stored_postings(content, strategy).write.option("parquet.block.size", ROW_GROUP).option("parquet.page.row.count.limit", 4).parquet(f"{base}/postings")
 
 
-def _write_postings(postings: DataFrame, base: str) -> None:
-    postings.select("gram", "doc_id", "block").repartitionByRange("gram").sortWithinPartitions("gram", "doc_id", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{base}/postings")
-    counts = postings.sparkSession.read.schema(SCHEMAS["postings"]).parquet(f"{base}/postings").groupBy("gram").agg(F.count("*").alias("n"))
-    counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{base}/grams")
+def _free(spark: SparkSession) -> None:
+    """Shuffle files that nothing refers to any more go now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _write_docs(docs: DataFrame, base: str) -> None:
@@ -229,7 +243,7 @@ def _write_segment(spark: SparkSession, store: _Store, corpus: DataFrame, strate
     doc = F.xxhash64("display_key", "version")
     rows = decode_corpus(corpus, limits).withColumns({"seg": F.lit(seg), "doc_id": doc})
     staged = f"{store.root}/tmp-{seg}"
-    rows.write.parquet(staged)
+    rows.write.option("compression", "zstd").parquet(staged)
     rows = spark.read.parquet(staged)
     content = rows.where("display_key is not null").select("seg", "source_key", "doc_id", F.col("display_key").alias("key"), "block", "first_line", "start", "bytes")
     _write_content(content, base)
@@ -243,8 +257,9 @@ def _write_segment(spark: SparkSession, store: _Store, corpus: DataFrame, strate
         gone = lost.select(F.lit(seg).alias("seg"), F.col("key").alias("source_key"), F.col("version"), F.lit(0).cast("long").alias("encoded_size"), F.lit(None).cast("string").alias("encoding"), F.lit(0).cast("long").alias("doc_count"), F.lit(False).alias("failed"), F.lit(True).alias("retry"))
         sources = sources.unionByName(gone)
     sources.repartitionByRange("source_key").write.parquet(f"{base}/sources")
-    _write_postings(block_grams(content, strategy), base)
     store.delete(f"tmp-{seg}")
+    _free(spark)
+    _write_postings(spark, base, strategy)
     return _describe(spark, store, seg)
 
 
@@ -290,7 +305,8 @@ def _rewrite(index: Index, segments: list[dict]) -> dict | None:
     docs = live("docs").drop("bucket")
     _write_docs(docs, base)
     live("sources").repartitionByRange("source_key").sortWithinPartitions("source_key").write.parquet(f"{base}/sources")
-    _write_postings(index.table("postings", segments=segments).join(docs.select("doc_id"), "doc_id", "left_semi").distinct(), base)
+    _free(index.spark)
+    _write_postings(index.spark, base, index.manifest.strategy)
     return _describe(index.spark, index.store, seg)
 
 
@@ -311,7 +327,8 @@ def update_index(
     old = load_manifest(store)
     if old.generation and old.source != source and not rebuild:
         raise IndexMismatch(f"the index is of {old.source!r}, not {source!r}")
-    listing = corpus.select("key", "version") if listing is None else listing.select("key", "version")
+    own = listing is None
+    listing = corpus.select("key", "version") if own else listing.select("key", "version")
     twice = duplicate_keys(listing).first()
     if twice:
         raise ValueError(f"the listing names {twice['key']!r} twice")
@@ -345,7 +362,10 @@ def update_index(
         if counts.get("add", 0) + counts.get("replace", 0):
             wanted = listing.join(add, "key", "left_semi")
             tell({"event": "listed", "objects": counts.get("add", 0) + counts.get("replace", 0), "removed": counts.get("remove", 0)})
-            rows = corpus.join(add, "key", "left_semi") if fetch is None else fetch(wanted)
+            if fetch is not None:
+                rows = fetch(wanted)
+            else:  # where nothing is live and the corpus is its own listing, all of it is added, and a join would only move it
+                rows = corpus.where("key is not null") if fresh and own else corpus.join(add, "key", "left_semi")
             gone = vanished(wanted, rows)
             for made in _write_bounded(spark, store, rows, strategy, gone, limits, doc_cap):
                 new.segments.append(made)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from delve.functions.grams import pack
 from delve.functions.patterns import Program, plan_kinds
 from delve.plans.gramplan import plan, simplify
 
@@ -44,10 +45,9 @@ def candidates(index: Index, program: Program, scope: Scope, whole_documents: bo
     ``whole_documents`` all blocks of a document with a candidate come along.
     """
     prefix = candidate_prefix(scope.target, scope.key_prefix)
-    postings = index.table("postings", prefix)
     queries = plan(program, index.manifest.strategy)
     grams = set().union(*(q.grams() for q in queries))
-    counts = stored_counts(index.table("grams", prefix), grams)
+    counts = stored_counts(index, grams, prefix)
     space = max(1, sum(s["blocks"] for s in index.manifest.segments))  # dead ones too: a gram that is in all live blocks is just not dropped
     queries = [simplify(q, counts, space, 64 if index.manifest.strategy == "trigram" else 8) for q in queries]
     content = index.table("content", prefix).where(scope.admits(F.col("key")))
@@ -56,6 +56,7 @@ def candidates(index: Index, program: Program, scope: Scope, whole_documents: bo
         return Candidates(content.limit(0), index.spark.createDataFrame([], "doc_id long, block int"), queries, True)
     if any(q.kind == "all" for q in queries):
         return Candidates(content, docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), queries, False)
+    postings = index.postings(sorted({pack(g) for q in queries for g in q.grams()}), prefix)
     found = candidate_blocks(postings, postings, queries).select("doc_id", "block")
     places = found.join(docs.select("doc_id", "display_key", "bucket"), "doc_id")
     on = ["doc_id"] if whole_documents else ["doc_id", "block"]
